@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
-from quern.llm import simhash
+from quern.llm import bpe, langid, quality, simhash
 
 QUERIES = {
+    "op6_quality_classifier": quality.op6_quality_classifier,
+    "op4_language_id": langid.op4_language_id,
+    "op7_byte_bpe": bpe.op7_byte_bpe,
     "op3_simhash_near_dedup": simhash.op3_simhash_near_dedup,
 }
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op4_language_id": langid.SQL,
+}
