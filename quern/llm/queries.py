@@ -2,14 +2,19 @@
 
 from __future__ import annotations
 
-from quern.llm import bpe, langid, quality, simhash
+from quern.llm import bpe, decontaminate, langid, quality, simhash, urls, warc
 
 QUERIES = {
-    "op6_quality_classifier": quality.op6_quality_classifier,
+    "op2_url_filter": urls.op2_url_filter,
+    "op3_simhash_near_dedup": simhash.op3_simhash_near_dedup,
     "op4_language_id": langid.op4_language_id,
+    "op6_quality_classifier": quality.op6_quality_classifier,
     "op7_byte_bpe": bpe.op7_byte_bpe,
-    "op3_simhash_near_dedup": simhash.op3_simhash_near_dedup,
+    "op9_capture_index": warc.op9_capture_index,
+    "op10_benchmark_decontamination": decontaminate.op10_benchmark_decontamination,
 }
 ORACLE_SQL: dict[str, str] = {
+    "op2_url_filter": urls.SQL,
     "op4_language_id": langid.SQL,
+    "op9_capture_index": warc.SQL,
 }
