@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from quern.llm import bpe, decontaminate, langid, quality, simhash, urls, warc
+from quern.llm import bpe, decontaminate, langid, perplexity, quality, simhash, urls, warc
 
 QUERIES = {
+    "op1_ngram_perplexity": perplexity.op1_ngram_perplexity,
     "op2_url_filter": urls.op2_url_filter,
     "op3_simhash_near_dedup": simhash.op3_simhash_near_dedup,
     "op4_language_id": langid.op4_language_id,
