@@ -1,10 +1,29 @@
-"""Five stages from raw documents to tokens."""
+"""Five stages from raw documents to tokens.
+
+Each stage takes what its predecessor kept, with the columns of documents; the last returns tokens. Models and
+counts of a stage come from the documents it is given.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from quern.llm.bpe import encode
+from quern.llm.decontaminate import without_contaminated
+from quern.llm.langid import in_known_language
+from quern.llm.quality import of_quality
 from quern.llm.simhash import without_near_duplicates
+from quern.storage import written
+
+
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents below the calibrated probability of good quality go."""
+    return of_quality(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
+def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents in another language than they declare, or without a letter, go."""
+    return in_known_language(docs)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -12,12 +31,22 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return without_near_duplicates(docs)
 
 
-STAGES = [("near_dedup", near_dedup)]
-ORACLE_SQL = None
+def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold a benchmark item, exact or edited, go."""
+    return without_contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The tokens of every document left, and that decoding gives it back."""
+    return encode(docs)
+
+
+STAGES = [("quality", quality), ("language", language), ("near_dedup", near_dedup), ("decontaminate", decontaminate), ("tokenize", tokenize)]
+ORACLE_SQL = None  # the trained network, the fingerprints and byte merges are beyond SQL
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-    return docs
+    for name, stage in STAGES[:-1]:
+        docs = written(stage(spark, docs, sf_dir), name)
+    return STAGES[-1][1](spark, docs, sf_dir)
