@@ -76,8 +76,8 @@ def blocks(text: str) -> Iterator[tuple[int, int]]:
     run: list[int] | None = None
     gap = 0
     for line in _PIECE.finditer(text):
-        a, z = line.span()
-        spans = [(a, z)] if z - a <= LONG_LINE else ((a + m.start(), a + m.end()) for m in _SENTENCE.finditer(line.group()))
+        base, end = line.span()
+        spans = [(base, end)] if end - base <= LONG_LINE else [(base + m.start(), base + m.end()) for m in _SENTENCE.finditer(line.group())]
         for a, z in spans:
             if _CUE.search(text, a, z):
                 run = [run[0] if run else a, z]
