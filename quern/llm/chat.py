@@ -3,8 +3,9 @@
 A transcript is a text of lines. Each line has a hidden state: a role, and
 whether it begins a turn or continues one. What is seen of a line is its
 speaker marker, whether the line before is blank, how it ends and its length.
-The probabilities are counts over labelled turns (all of the given table), with
-one added to each and a prior that a marker names its role. Viterbi's path of
+The probabilities come from counts over labelled turns (all of the given table), with
+one added to each step and marker and a prior that a marker names its role; the other
+features are mixed with their frequencies over all states. Viterbi's path of
 states, taken over many transcripts at a time, gives the turns.
 """
 
@@ -32,6 +33,8 @@ MARKER = re.compile(rf"\s*(?:<\|im_start\|>({_ANY})\b|<\|({_ANY})\|>|(?:#+ *)?\*
 _CLOSE = re.compile(r"(?:<\|im_end\|>|</s>)\s*$")
 #: name, how many values it takes
 FEATURES = [("marker", len(ROLES) + 1), ("before", 3), ("ending", 5), ("length", 6)]
+#: weight of all states' frequencies within each state's, by feature: the higher, the weaker its evidence
+POOLED = {"before": 0.02, "ending": 0.5, "length": 0.5}
 PRIOR = 20.0  #: times that a role's marker counts as seen at its beginning, whatever the data
 
 #: Ways in which exports mark speakers; None: a blank line alone parts the turns.
@@ -83,13 +86,21 @@ class Hmm:
         step = step + 1.0
         role = np.arange(STATES) // 2
         step = np.where(begins[None, :] | (role[:, None] == role[None, :]), step, 0.0)  # a turn keeps its role
-        seen = [x + 1.0 for x in seen]
+        marks = seen[0] + 1.0
         for r in range(len(ROLES)):
-            seen[0][2 * r, 1 + r] += PRIOR
+            marks[2 * r, 1 + r] += PRIOR
+        seen = [marks, *(self._mixed(x, POOLED[name]) for x, (name, _) in zip(seen[1:], FEATURES[1:]))]
         with np.errstate(divide="ignore"):
             self.start, self.step = np.log(start / start.sum()), np.log(step / step.sum(axis=1, keepdims=True))
             self.seen = [np.log(x / x.sum(axis=1, keepdims=True)) for x in seen]
 
+    @staticmethod
+    def _mixed(counts: np.ndarray, weight: float) -> np.ndarray:
+        """A state's own frequencies mixed with those of all states, so that a value which a state never showed counts against it within bounds."""
+        pooled = (counts.sum(axis=0) + 1.0) / (counts.sum() + counts.shape[1])
+        n = counts.sum(axis=1, keepdims=True)
+        return np.where(n > 0, (1 - weight) * counts / np.maximum(n, 1) + weight * pooled, pooled)
+
     def emission(self, features: np.ndarray) -> np.ndarray:
         return sum(table.T[features[:, k]] for k, table in enumerate(self.seen))
 
