@@ -1,0 +1,69 @@
+import math
+import random
+from collections import Counter
+
+import duckdb
+
+from quern.llm import langid as L
+
+SCHEMA = "doc_id long, text string, lang string"
+
+
+def sentence(rng, alphabet, n):
+    return " ".join("".join(rng.choices(alphabet, k=rng.randint(2, 6))) for _ in range(n))
+
+
+def corpus(seed=1):
+    rng = random.Random(seed)
+    return [(i, sentence(rng, "aeioubcd" if i % 2 else "äöüßxyzk", rng.randint(5, 60)), "aa" if i % 2 else "bb") for i in range(120)]
+
+
+def grams(text):
+    c = [ord(x) if len(x.lower()) > 1 else ord(x.lower()) for x in text]
+    out = [x % 65521 for x in c]
+    out += [(c[i] + c[i + 1] * L._MULT[1] + L._SHIFT[1]) % 65521 for i in range(len(c) - 1)]
+    return out + [(c[i] + c[i + 1] * L._MULT[1] + c[i + 2] * L._MULT[2] + L._SHIFT[2]) % 65521 for i in range(len(c) - 2)]
+
+
+def test_scores_equal_brute_force(spark):
+    rows = corpus()
+    total = {"aa": Counter(), "bb": Counter()}
+    for _, t, lang in rows:
+        total[lang].update(grams(t))
+    size = {x: sum(c.values()) for x, c in total.items()}
+    got = {r["doc_id"]: r for r in L.identify(spark.createDataFrame(rows, SCHEMA)).collect()}
+    for i, t, lang in rows:
+        s = {x: math.log(0.5) + sum(math.log(total[x][g] + 1) - math.log(size[x] + L.BUCKETS) for g in grams(t)) for x in total}
+        best = max(s, key=s.get)
+        assert got[i]["language"] == best and abs(got[i]["margin"] - (s[best] - s[lang])) < 1e-6
+
+
+def test_mislabelled_documents_go_and_held_out_accuracy(spark):
+    rows = corpus()
+    wrong = [(1000 + i, t, "bb" if lang == "aa" else "aa") for i, t, lang in corpus(9)[:6]]
+    got = {r["doc_id"]: r for r in L.identify(spark.createDataFrame(rows + wrong, SCHEMA)).collect()}
+    assert not any(got[w[0]]["keep"] for w in wrong) and all(got[r[0]]["keep"] for r in rows)
+    unseen = [(5000 + i, t, None) for i, t, _ in corpus(77)]
+    got = {r["doc_id"]: r for r in L.identify(spark.createDataFrame(rows + unseen, SCHEMA)).collect()}
+    right = sum(got[5000 + i]["language"] == lang for i, _, lang in corpus(77))
+    assert right >= 118 and all(got[u[0]]["keep"] for u in unseen)
+
+
+def test_equals_sql_with_nulls_and_repeats(spark):
+    rows = corpus()[:40] + [(None, "aeiou", "aa"), (900, None, "aa"), (901, "", "bb"), (902, "!?", "aa"), (0, corpus()[0][1], "bb"), (903, "aeiou", None), (904, "äöü", "cc"), (905, "一二三\U0001f600 x", "aa")]
+    df = spark.createDataFrame(rows, SCHEMA)
+    import pandas as pd
+
+    documents = pd.DataFrame(rows, columns=["doc_id", "text", "lang"]).astype({"doc_id": "Int64"})  # noqa: F841 - DuckDB reads it
+    key = lambda r: (-1 if r[0] is None else r[0], r[1])
+    want = sorted(duckdb.sql(L.SQL).fetchall(), key=key)
+    got = sorted(((r["doc_id"], r["language"]) for r in L.identify(df).where("keep").collect()), key=key)
+    assert got == want
+    kept = L.in_known_language(df.withColumn("keep", df["doc_id"]))
+    assert kept.columns == ["doc_id", "text", "lang", "keep"] and kept.count() == len(want)
+
+
+def test_empty_table_and_no_languages(spark):
+    assert L.identify(spark.createDataFrame([], SCHEMA)).count() == 0
+    got = L.identify(spark.createDataFrame([(1, "abc", None), (2, "..", None)], SCHEMA)).collect()
+    assert [(r["doc_id"], r["language"], r["keep"]) for r in sorted(got)] == [(1, None, True), (2, None, False)]
