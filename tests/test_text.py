@@ -1,0 +1,85 @@
+import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
+from pyspark.sql import functions as F
+
+from quern.errors import HashingError
+from quern.functions import text as T
+
+EDGE = ["", " ", "\t\n", "!?.", "one", "one two", "one two three", "aaa", "ﬁne Ｆｕｌｌ", "a b  c", "<p>a</p><p>b</p>", "a <b>bold <i>x</i></b> y", "A &amp; B &#65; &amp;lt;", "<script>var x</script> t <!-- gone -->", "日本語のテキスト", "中文 text mixed", "한국어", "abcd 日", "مرحبا بالعالم", "שלום", "x \U0001f600 y", "a_b c-d", None, "long " * 20_000]
+
+
+def column(spark, texts, c):
+    rows = spark.createDataFrame(list(enumerate(texts)), "i int, t string").select("i", c.alias("v")).collect()
+    return [r["v"] for r in sorted(rows, key=lambda r: r["i"])]
+
+
+def test_normalization(spark):
+    got = column(spark, EDGE, T.normalize(F.col("t")))
+    assert got == [None if t is None else T.normalize_text(t) for t in EDGE]
+    want = {"<p>a</p><p>b</p>": "ab", "a b  c": "a b c", "ﬁne Ｆｕｌｌ": "fine full", "A &amp; B &#65; &amp;lt;": "a & b A &lt;", "\t\n": "", "<script>var x</script> t <!-- gone -->": "var x t"}
+    assert {t: got[EDGE.index(t)] for t in want} == want
+
+
+def test_steps_can_be_left_out():
+    assert T.normalize_text(" <B>X</B>  y ", lower=False, html=False, strip=False) == " <B>X</B> y "
+
+
+def test_tokens_and_ngrams(spark):
+    import re
+
+    texts = [t for t in EDGE if t is not None]
+    assert column(spark, texts, T.word_tokens(F.col("t"))) == [re.findall(r"\w+", t) for t in texts]
+    assert column(spark, texts, T.char_tokens(F.col("t"))) == [list(t) for t in texts]
+
+    def grams(toks, k):
+        return ["\x1f".join(toks[i : i + k]) for i in range(max(1, len(toks) - k + 1))] if toks else []
+
+    for k in (1, 2, 3):
+        assert column(spark, texts, T.ngrams(T.word_tokens(F.col("t")), k)) == [grams(re.findall(r"\w+", t), k) for t in texts]
+    with pytest.raises(ValueError):
+        T.ngrams(F.col("t"), 0)
+    with pytest.raises(ValueError):
+        T.tokens(F.col("t"), "byte")
+
+
+def test_cjk(spark):
+    got = dict(zip(EDGE, column(spark, EDGE, T.cjk_ratio(F.col("t")))))
+    assert got["日本語のテキスト"] == 1 and got["한국어"] == 1 and got[""] == 0 and got["\t\n"] == 0 and got["one"] == 0
+    assert abs(got["abcd 日"] - 0.2) < 1e-12
+    mode = column(spark, ["abcd 日", "abcde 日"], T.tokens(F.col("t"), "word", 0.2))
+    assert mode == [list("abcd 日"), ["abcde", "日"]]
+
+
+def test_hashes(spark):
+    import xxhash
+
+    words = ["", "a", "日本", "x" * 100, "\U0001f600"]
+    for seed in (42, 7):
+        got = column(spark, words, T.hashed(F.array("t"), seed))
+        assert [v[0] % (1 << 64) for v in got] == [xxhash.xxh64_intdigest(w.encode(), seed) for w in words]
+    assert T.stable_hash64("a") == xxhash.xxh64_intdigest(b"a", 42)
+    with pytest.raises(HashingError):
+        T.stable_hash64(b"a")
+
+
+def test_shingles_are_a_set_and_empty_only_without_tokens(spark):
+    got = column(spark, EDGE, T.shingles(F.col("t"), "char", 5))
+    assert [len(v) for v in got][:3] == [0, 1, 1] and len(got[EDGE.index("aaa")]) == 1 and all(len(v) == len(set(v)) for v in got)
+    assert column(spark, ["!?"], T.shingles(F.col("t"), "word", 3)) == [[]]
+    assert column(spark, ["aaaa"], T.shingles(F.col("t"), "char", 2))[0] == [column(spark, ["x"], F.xxhash64(F.lit("a\x1fa")))[0]]
+
+
+def test_sentences_placeholders_stop_words(spark):
+    assert column(spark, ["A b. C d! e"], T.sentence_tokens(F.col("t"))) == [["A b.", "C d!", "e"]]
+    assert column(spark, ["see https://x.y/z?1 at 12"], T.with_placeholders(F.col("t"))) == ["see <URL> at <NUM>"]
+    assert column(spark, ["the a of b"], T.without_words(T.word_tokens(F.col("t")), ["the", "of"])) == [["a", "b"]]
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.text(max_size=60))
+def test_ascii_path_equals_full_normalization(text):
+    import re
+
+    if re.search(r"[<&]|[^\x00-\x7f]", text) is None:
+        assert T.normalize_text(text) == re.sub(r"[\x09-\x0d\x1c-\x20]+", " ", text.lower()).strip(" ")
