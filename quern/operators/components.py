@@ -32,15 +32,18 @@ def connected_components(edges: DataFrame, src: str = "i", dst: str = "j") -> Da
     Null ends, self edges and repeated edges are ignored; an empty table gives an empty one.
     """
     a, b = F.col(src), F.col(dst)
+
+    def mark(table: DataFrame):
+        return table.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
+
     now = written(edges.where(a.isNotNull() & b.isNotNull() & (a != b)).select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).distinct(), "edges")
-    mark = None
-    while True:
+    before = mark(now)
+    while before[0]:
         after = written(_small_star(_large_star(now)), "edges")
-        new_mark = after.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         dropped(now)
-        now = after
-        if new_mark == mark:
+        now, now_mark = after, mark(after)
+        if now_mark == before:
             break
-        mark = new_mark
+        before = now_mark
     leaves = now.select(F.col("u").alias("node"), F.col("v").alias("component"))
     return leaves.union(now.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())

@@ -19,6 +19,7 @@ from quern.operators import lsh
 from quern.operators import similarity as S
 from quern.operators.minhash import MinHasher
 from quern.plans.pipeline import DedupPipeline
+from quern.storage import table as stored
 from quern.storage import written
 
 K, FUNCTIONS, BANDS, ROWS, THRESHOLD = 3, 16, 4, 4, 0.7
@@ -85,7 +86,7 @@ _TRUTH = f"""truth AS (SELECT i, j, n / (x.m + y.m - n) AS jaccard FROM (
 
 # --- tables shared by the queries -----------------------------------------------------------------------------
 def _read(spark: SparkSession, sf: str, table: str) -> DataFrame:
-    return spark.read.parquet(f"{sf}/{table}.parquet")
+    return stored(spark, sf, table)
 
 
 def _documents(spark: SparkSession, sf: str, table: str = "documents", key: str = "doc_id") -> DataFrame:

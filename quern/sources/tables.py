@@ -24,6 +24,6 @@ def with_index(df: DataFrame, *order: Column | str, name: str = "doc_idx") -> Da
     for p, n in sizes:  # one row per partition
         starts.append((p, before))
         before += n
-    table = F.broadcast(df.sparkSession.createDataFrame(starts, "__part long, __start long"))
+    table = F.broadcast(df.sparkSession.createDataFrame(starts, "__part long, __offset long"))
     joined = numbered.withColumn("__part", part).join(table, "__part", "left")
-    return joined.select((F.col("__start") + F.col("__row").bitwiseAND(F.lit((1 << _ROWS) - 1))).alias(name), *(F.col(f"`{c}`") for c in df.columns if c != name))
+    return joined.select((F.col("__offset") + F.col("__row").bitwiseAND(F.lit((1 << _ROWS) - 1))).alias(name), *(F.col(f"`{c}`") for c in df.columns if c != name))

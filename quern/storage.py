@@ -37,3 +37,10 @@ def dropped(df: DataFrame) -> None:
         path = jvm.org.apache.hadoop.fs.Path(name)
         if "/quern-" in name:
             path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
+    """A Parquet table of a folder. Where its scan has fewer partitions than the cluster has cores (a small file of one row group) the rows are dealt out again; a large table is left as it is."""
+    df = spark.read.parquet(f"{folder}/{name}.parquet")
+    cores = spark.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df

@@ -138,7 +138,7 @@ def test_near_copies_f1(spark):
 
 def test_high_precision_verifies_edges(spark):
     loose = dict(WORDS, num_hash_functions=16, lsh_bands=16, lsh_rows=1, jaccard_threshold=0.9)
-    docs = [{"id": str(i), "text": " ".join(f"w{j}" for j in range(i, i + 40))} for i in range(6)]
+    docs = [{"id": str(i), "text": " ".join(f"w{j}" for j in range(4 * i, 4 * i + 40))} for i in range(6)]
     n = {}
     for precise in (False, True):
         clusters, total = DedupPipeline(PipelineConfig(high_precision_mode=precise, **loose), spark).detect_clusters(docs)
