@@ -25,6 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 from quern.llm.text import _BASE, chunks, mix
+from quern.storage import table
 
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 _LONG = 64  # bytes from which a word has a tree of its own
@@ -366,4 +367,4 @@ def decode(tokens: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
 
 
 def op7_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return encode(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    return encode(table(spark, sf_dir, "documents"))

@@ -18,6 +18,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from quern.storage import table
 
 ROLES = ["system", "user", "assistant", "tool"]
 STATES = 2 * len(ROLES)  # role r begins a turn in state 2r and continues in 2r + 1
@@ -234,4 +235,4 @@ def format_conversations(conversations: DataFrame) -> DataFrame:
 
 
 def op8_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return format_conversations(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
+    return format_conversations(table(spark, sf_dir, "conversations"))

@@ -24,6 +24,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quern.llm.text import Words, chunks, gram_hashes
+from quern.storage import table
 
 SEED = 3
 RARE = 0.01  #: part of the documents up to which a seed is rare
@@ -234,4 +235,4 @@ def without_contaminated(docs: DataFrame, benchmark: DataFrame, threshold: float
 
 def op10_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``(doc_id, item_id, score)`` of every leak."""
-    return contaminated(spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    return contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))

@@ -23,6 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quern.llm.text import chunks, tables
+from quern.storage import table
 
 BUCKETS = 1 << 16
 SMOOTHING = 1.0
@@ -143,7 +144,7 @@ def in_known_language(docs: DataFrame) -> DataFrame:
 
 def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``(doc_id, language)`` of the documents that are kept."""
-    return identify(spark.read.parquet(f"{sf_dir}/documents.parquet")).where("keep").select("doc_id", "language")
+    return identify(table(spark, sf_dir, "documents")).where("keep").select("doc_id", "language")
 
 
 #: The same in DuckDB. Text is cut by code point; 'margin' compares the best language with the declared one.

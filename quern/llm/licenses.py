@@ -24,6 +24,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 import zstandard
 from pyspark.sql import DataFrame, SparkSession
+from quern.storage import table
 
 CUES = r"licen[sc]|copyright|permission is hereby|redistribut|warrant|rights reserved|public domain|as is"
 GAP = 3
@@ -178,4 +179,4 @@ def scan(docs: DataFrame, templates: list[tuple[str, str]] = TEMPLATES) -> DataF
 
 
 def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return scan(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    return scan(table(spark, sf_dir, "documents"))

@@ -24,6 +24,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quern.llm.text import _BASE, chunks, mix, tables
+from quern.storage import table
 
 VOCABULARY, DIM, WINDOW, BLOCKS = 1 << 15, 32, 2, 64
 TRAIN_ROWS = 20_000
@@ -240,5 +241,5 @@ def of_quality(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 def op6_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``(doc_id, probability)`` of the documents that are kept."""
-    docs, labels = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("documents", "labels"))
+    docs, labels = (table(spark, sf_dir, t) for t in ("documents", "labels"))
     return classify(docs, labels).where("keep").select("doc_id", "probability")

@@ -18,6 +18,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from quern.storage import table
 
 BROADCAST_ENTRIES = 1_000_000
 
@@ -130,7 +131,7 @@ def judge(pages: DataFrame, entries: DataFrame, broadcast_entries: int = BROADCA
 
 
 def op2_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return judge(spark.read.parquet(f"{sf_dir}/pages.parquet"), spark.createDataFrame(ENTRIES, "action string, entry string"))
+    return judge(table(spark, sf_dir, "pages"), spark.createDataFrame(ENTRIES, "action string, entry string"))
 
 
 SQL = f"""

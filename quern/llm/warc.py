@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quern.llm.urls import _HOST
-from quern.storage import written
+from quern.storage import table, written
 
 RUN_ROWS = 200_000  #: captures that are sorted at a time; a task with more makes several runs
 _KEY = ("surt", "captured", "page_id")
@@ -162,7 +162,7 @@ _TIME = "1704067200 + (page_id * 7919) % 31536000"
 
 def op9_capture_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The histories of the table pages. It records no capture time, so one within 2024 is made from page_id."""
-    return capture_histories(spark.read.parquet(f"{sf_dir}/pages.parquet").withColumn("captured", F.expr(_TIME)))
+    return capture_histories(table(spark, sf_dir, "pages").withColumn("captured", F.expr(_TIME)))
 
 
 SQL = f"""
