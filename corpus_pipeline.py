@@ -13,7 +13,7 @@ from quern.llm.decontaminate import without_contaminated
 from quern.llm.langid import in_known_language
 from quern.llm.quality import of_quality
 from quern.llm.simhash import without_near_duplicates
-from quern.storage import written
+from quern.storage import table, written
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -46,7 +46,7 @@ ORACLE_SQL = None  # the trained network, the fingerprints and byte merges are b
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
         docs = written(stage(spark, docs, sf_dir), name)
     return STAGES[-1][1](spark, docs, sf_dir)
