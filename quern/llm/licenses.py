@@ -24,6 +24,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 import zstandard
 from pyspark.sql import DataFrame, SparkSession
+
 from quern.storage import table
 
 CUES = r"licen[sc]|copyright|permission is hereby|redistribut|warrant|rights reserved|public domain|as is"

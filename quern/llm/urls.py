@@ -18,6 +18,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+
 from quern.storage import table
 
 BROADCAST_ENTRIES = 1_000_000
