@@ -18,7 +18,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from quern.storage import table
+
+from quern.storage import table, written
 
 ROLES = ["system", "user", "assistant", "tool"]
 STATES = 2 * len(ROLES)  # role r begins a turn in state 2r and continues in 2r + 1
@@ -230,7 +231,7 @@ def format_conversations(conversations: DataFrame) -> DataFrame:
     A null text counts as empty, a null or unknown role has no marker. Rows with a null conv_id are a
     conversation each (equal ones together). An empty table gives an empty one.
     """
-    turns = conversation_turns(conversations)
+    turns = written(conversation_turns(conversations), "turns")  # read twice, shuffled once
     return parse(transcripts(turns), train(turns))
 
 
