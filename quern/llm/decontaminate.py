@@ -1,9 +1,8 @@
-"""Benchmark decontamination: rare word n-grams of the test items find passages, Smith-Waterman alignment scores them.
+"""Benchmark decontamination: word n-grams of the test items find passages, Smith-Waterman alignment scores them.
 
-The seeds of an item are its runs of three words. Their document frequency is
-counted over all documents; rare are those in at most ``RARE`` of the documents
-and, whatever their frequency, the rarer half of each item's (so an item that
-was copied everywhere is still found). A passage around a rare seed, as long as the item with a margin on both sides,
+The seeds of an item are all its runs of three words, however often documents
+hold them: which of them an edit leaves whole differs from copy to copy. A passage around a seed, as long as the item with a margin on both sides,
+that holds enough of the item's words to reach the threshold at all
 is aligned with the item word by word: a local alignment with +2 for an equal
 word and -1 for a replaced, missing or added one. The score is that sum over the
 most it could be, 2 x the item's words; from ``THRESHOLD`` on the document
@@ -21,16 +20,15 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
-from quern.llm.text import Words, chunks, gram_hashes
+from quern.llm.text import Words, chunks, gram_hashes, mix
 from quern.storage import table
 
 SEED = 3
-RARE = 0.01  #: part of the documents up to which a seed is rare
 LEAST_WORDS = 5  #: shorter items are no evidence of anything
 THRESHOLD = 0.45
 SLICE_WORDS = 4_000_000
+POSTINGS = 1_000_000  #: occurrences of seeds that are looked at together, and words of passages; a row is not divided
 MATCH, OTHER = 2, 1
 _BITS = 22
 
@@ -77,19 +75,6 @@ class Items:
         same = self.seeds[k] == h[maybe]
         return at[maybe[same]], k[same]
 
-    def rarer(self, df: np.ndarray, docs: int) -> None:
-        """Keep only the postings of rare seeds; ties within an item go to the earlier place."""
-        of_posting = np.repeat(np.arange(len(self.seeds)), np.diff(self.first))
-        order = np.lexsort((self.place, df[of_posting], self.owner))
-        begin = np.searchsorted(self.owner[order], np.arange(len(self.ids)))
-        rank = np.arange(len(order)) - begin[self.owner[order]]
-        total = np.bincount(self.owner, minlength=len(self.ids))
-        keep = np.zeros(len(order), bool)
-        keep[order] = (rank < np.ceil(total / 2)[self.owner[order]]) | (df[of_posting[order]] <= RARE * docs)
-        seed = self.seeds[of_posting][keep]
-        self.owner, self.place = self.owner[keep], self.place[keep]
-        self._index(seed)
-
 
 def smith_waterman(items: list[np.ndarray], passages: list[np.ndarray]) -> np.ndarray:
     """Best local alignment score of each item with its passage (arrays of word hashes), many at a time.
@@ -123,13 +108,42 @@ def smith_waterman(items: list[np.ndarray], passages: list[np.ndarray]) -> np.nd
     return out
 
 
-def aligned(items: Items, words: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """``(row, item index, score)`` for each pair of a chunk that shares a seed: the best of its passages."""
-    none = np.zeros(0, np.int64)
+def _held(items: Items, words: Words, item: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
+    """How many of each item's words its passage holds; no alignment has more equal words."""
+    out = np.zeros(len(item), np.int64)
+    n = hi - lo
+    ends = np.cumsum(n)
+    first = 0
+    while first < len(item):
+        last = max(first + 1, int(np.searchsorted(ends, ends[first] - n[first] + POSTINGS, "right")))
+        size, m = items.size[item[first:last]], n[first:last]
+        which = np.repeat(np.arange(len(m)), m)
+        at = np.arange(len(which)) + np.repeat(lo[first:last] - (np.cumsum(m) - m), m)
+        of = np.repeat(np.arange(len(m)), size)
+        mine = mix(np.concatenate([items.words[i] for i in item[first:last]]) + mix(of.astype(np.uint64)))
+        out[first:last] = np.bincount(of[np.isin(mine, mix(words.hash[at] + mix(which.astype(np.uint64))))], minlength=len(m))
+        first = last
+    return out
+
+
+def aligned(items: Items, words: Words, threshold: float = THRESHOLD) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """``(row, item index, score)`` for each pair of a chunk that shares a seed and may reach the threshold: the best of its passages."""
     at, k = items.hits(words)
-    if not len(at):
-        return none, none, np.zeros(0)
     n = items.first[k + 1] - items.first[k]
+    rows, begin = np.unique(words.doc[at], return_index=True)
+    found, total = [], np.append(np.cumsum(n) - n, n.sum())[np.append(begin, len(at))]
+    begin = np.append(begin, len(at))
+    i = 0
+    while i < len(rows):
+        j = max(i + 1, int(np.searchsorted(total, total[i] + POSTINGS, "right")) - 1)
+        s = slice(begin[i], begin[j])
+        found.append(_aligned(items, words, at[s], k[s], n[s], threshold))
+        i = j
+    none = np.zeros(0, np.int64)
+    return tuple(np.concatenate(x) for x in zip(*found)) if found else (none, none, np.zeros(0))
+
+
+def _aligned(items: Items, words: Words, at: np.ndarray, k: np.ndarray, n: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     ends = np.cumsum(n)
     posting = np.repeat(items.first[k] - (ends - n), n) + np.arange(ends[-1])
     at = np.repeat(at, n)
@@ -145,6 +159,10 @@ def aligned(items: Items, words: Words) -> tuple[np.ndarray, np.ndarray, np.ndar
     row, item, margin = row[first], item[first], margin[first]
     lo = np.maximum(start[first] - margin, words.bounds[row])
     hi = np.minimum(start[last] + items.size[item] + margin, words.bounds[row + 1])
+    may = np.flatnonzero(_held(items, words, item, lo, hi) >= threshold * items.size[item] - 1e-9)
+    row, item, lo, hi = row[may], item[may], lo[may], hi[may]
+    if not len(row):
+        return row, item, np.zeros(0)
     score = smith_waterman([items.words[i] for i in item], [words.hash[a:b] for a, b in zip(lo, hi)]) / (MATCH * items.size[item])
     pair = np.flatnonzero(np.r_[True, (row[1:] != row[:-1]) | (item[1:] != item[:-1])])
     return row[pair], item[pair], np.maximum.reduceat(score, pair)
@@ -164,30 +182,6 @@ def _slices(benchmark: DataFrame) -> Iterator[Items]:
         yield Items(ids, texts)
 
 
-def _with_rare_seeds(docs: DataFrame, items: Items) -> Items:
-    shared = docs.sparkSession.sparkContext.broadcast(items)
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        it = shared.value
-        df = np.zeros(len(it.seeds), np.int64)
-        rows = 0
-        for b in batches:
-            rows += b.num_rows
-            for _, _, cp, off in chunks(b.column("text")):
-                w = Words(cp, off)
-                at, k = it.hits(w)
-                if len(at):
-                    df += np.bincount(np.unique(np.stack([w.doc[at], k]), axis=1)[1], minlength=len(df))
-        some = np.flatnonzero(df)
-        yield pa.RecordBatch.from_arrays([pa.array(np.append(some, -1)), pa.array(np.append(df[some], rows))], ["seed", "n"])
-
-    table = docs.select("text").mapInArrow(count, "seed long, n long").groupBy("seed").agg(F.sum("n").alias("n")).toArrow()
-    df = np.zeros(len(items.seeds) + 1, np.int64)  # the last one counts the documents
-    df[table["seed"].to_numpy()] = table["n"].to_numpy()
-    items.rarer(df[:-1], int(df[-1]))
-    return items
-
-
 def contaminated(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """``(doc_id, item_id, score)`` of every document row and item from the threshold on.
 
@@ -199,13 +193,13 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, threshold: float = THRES
     for items in _slices(benchmark):
         if not items.ids:
             continue
-        shared = docs.sparkSession.sparkContext.broadcast(_with_rare_seeds(docs, items))
+        shared = docs.sparkSession.sparkContext.broadcast(items)
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             for b in batches:
                 ids = b.column("doc_id").cast(pa.int64())
                 for lo, _, cp, off in chunks(b.column("text")):
-                    row, item, score = aligned(shared.value, Words(cp, off))
+                    row, item, score = aligned(shared.value, Words(cp, off), threshold)
                     ok = score >= threshold
                     yield pa.RecordBatch.from_arrays([ids.take(pa.array(row[ok] + lo)), pa.array([shared.value.ids[i] for i in item[ok]], pa.int64()), pa.array(score[ok])], ["doc_id", "item_id", "score"])
 
@@ -219,13 +213,13 @@ def without_contaminated(docs: DataFrame, benchmark: DataFrame, threshold: float
     for items in _slices(benchmark):
         if not items.ids:
             continue
-        shared = docs.sparkSession.sparkContext.broadcast(_with_rare_seeds(docs.select("text"), items))
+        shared = docs.sparkSession.sparkContext.broadcast(items)
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             for b in batches:
                 keep = np.ones(b.num_rows, bool)
                 for lo, _, cp, off in chunks(b.column(text)):
-                    row, _, score = aligned(shared.value, Words(cp, off))
+                    row, _, score = aligned(shared.value, Words(cp, off), threshold)
                     keep[row[score >= threshold] + lo] = False
                 yield b.filter(pa.array(keep))
 

@@ -92,3 +92,37 @@ def test_edge_cases(spark):
     assert kept.columns == docs.columns and sorted(r["doc_id"] for r in kept.collect()) == [2, 3, 4]
     assert D.contaminated(docs, bench.limit(0)).count() == 0 and D.contaminated(docs.limit(0), bench).count() == 0
     assert D.without_contaminated(docs, bench.limit(0)).count() == len(rows) and D.without_contaminated(docs.limit(0), bench).count() == 0
+
+
+def with_every_fourth_replaced(item, rng, lexicon, first):
+    w = item.split()
+    w[first::4] = rng.choices(lexicon, k=len(w[first::4]))
+    return " ".join(w)
+
+
+def test_edited_and_partial_copies_are_found_however_many_and_in_small_tables(spark):
+    rng = random.Random(9)
+    lexicon = ["".join(rng.choices("abcdefghijkl", k=6)) for _ in range(2500)]
+    item = prose(rng, 20, lexicon)
+    edited = with_every_fourth_replaced(item, rng, lexicon, 1)
+    half = " ".join(item.split()[10:])
+    plain = [prose(rng, 40, lexicon) for _ in range(300)]
+    tables = {
+        "hot edited copy": plain + [f"{prose(rng, 40, lexicon)} {edited}" for _ in range(60)],
+        "hot item, partial and edited copies": plain + [f"{prose(rng, 40, lexicon)} {item}" for _ in range(60)] + [f"{half} {prose(rng, 40, lexicon)}", f"x y z {edited}", with_every_fourth_replaced(item, rng, lexicon, 2)],
+        "few rows": plain[:20] + [f"{prose(rng, 40, lexicon)} {edited}"],
+    }
+    bench = spark.createDataFrame([(1, item)], "item_id long, text string")
+    for name, texts in tables.items():
+        got = {r["doc_id"]: r["score"] for r in D.contaminated(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), bench).collect()}
+        scores = {d: brute_score(words_of(item).tolist(), words_of(t).tolist()) / (D.MATCH * 20) for d, t in enumerate(texts)}
+        assert got == {d: s for d, s in scores.items() if s >= D.THRESHOLD} and got, name
+
+
+def test_pieces_of_a_chunk_give_the_same_result(monkeypatch):
+    docs, items, _ = corpus(4)
+    it = D.Items(*zip(*items))
+    (_, _, cp, off), = chunks(pa.array([t for _, t in docs]))
+    once = [x.tolist() for x in D.aligned(it, Words(cp, off))]
+    monkeypatch.setattr(D, "POSTINGS", 3)
+    assert [x.tolist() for x in D.aligned(it, Words(cp, off))] == once and once[0]
