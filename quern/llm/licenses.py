@@ -1,23 +1,24 @@
 """License scan by conditional compression.
 
-Blocks that may hold license wording are found by cue words. Each is
-compressed alone and with every template as a zstandard raw dictionary; the
-saved bytes rank the templates. A template that saves at least ``SAVES`` of
-what it or the block takes alone is then aligned word by word with the block
-(whole template, any part of the block). It is confirmed if at most ``EDITS`` of its
-words are missing, added or replaced and no word with a digit is (another version
-is another license). Of confirmed templates that overlap, the one with the
-smaller part of differing words stays, then the one that saves more.
-
-A block is a run of lines, or of sentences where a line is long, from the first
-with a cue to the last, with at most ``GAP`` without one between. Each row is
-judged on its own, so nothing is shuffled.
+Blocks that may hold license wording are found by cue words: a block is every
+cue with as many words on both sides as the longest license may have, and what
+overlaps is one block. Templates of which the block has enough words are
+aligned word by word with it (whole template, any part of the block). A
+template is confirmed if at most ``EDITS`` of its words are missing, added or
+replaced and no word with a digit is (another version is another license).
+The words confirmed are compressed alone and with the template as a zstandard
+raw dictionary, which must save at least ``SAVES`` of what they or the template
+take alone. Of confirmed templates that overlap, the one with the smaller part
+of differing words stays, then the one that saves more.
+
+Each row is judged on its own, so nothing is shuffled.
 """
 
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections import Counter
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -27,9 +28,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from quern.storage import table
 
-CUES = r"licen[sc]|copyright|permission is hereby|redistribut|warrant|rights reserved|public domain|as is"
-GAP = 3
-LONG_LINE = 1_000
+CUES = r"licen[sc]|copyright|permission\W+is\W+hereby|redistribut|warrant|rights\W+reserved|public\W+domain|as\W+is"
 SAVES, LEAST_SAVED = 0.4, 8
 EDITS = 0.15
 
@@ -69,32 +68,24 @@ The above copyright notice and this permission notice shall be included in all c
 
 _CUE = re.compile(CUES, re.I)
 _WORD = re.compile(r"\w+(?:\.\w+)*")
-_PIECE = re.compile(r"[^\n]+")
-_SENTENCE = re.compile(r"\S.*?(?:[.;:!?](?=\s)|$)", re.S)
-
-
-def blocks(text: str) -> Iterator[tuple[int, int]]:
-    """Start and end of every candidate block."""
-    run: list[int] | None = None
-    gap = 0
-    for line in _PIECE.finditer(text):
-        base, end = line.span()
-        spans = [(base, end)] if end - base <= LONG_LINE else [(base + m.start(), base + m.end()) for m in _SENTENCE.finditer(line.group())]
-        for a, z in spans:
-            if _CUE.search(text, a, z):
-                run = [run[0] if run else a, z]
-                gap = 0
-            elif run:
-                gap += 1
-                if gap > GAP:
-                    yield run[0], run[1]
-                    run = None
+
+
+def blocks(text: str, words: np.ndarray, reach: int) -> Iterator[tuple[int, int]]:
+    """First and end word of every candidate block: a cue and ``reach`` words on both sides. ``words``: start and end of each."""
+    run: tuple[int, int] | None = None
+    for at in np.searchsorted(words[:, 0], np.array([m.start() for m in _CUE.finditer(text)], np.int64), "right").tolist():
+        a, z = max(0, at - 1 - reach), min(len(words), at + reach)
+        if run and a > run[1]:
+            yield run
+            run = None
+        run = (run[0] if run else a, z)
     if run:
-        yield run[0], run[1]
+        yield run
 
 
 def _plain(text: str) -> bytes:
-    return " ".join(text.lower().split()).encode()
+    """The words alone: line breaks, comment marks and punctuation are no difference."""
+    return " ".join(_WORD.findall(text.lower())).encode()
 
 
 def _compressor(dictionary: bytes | None = None) -> zstandard.ZstdCompressor:
@@ -134,31 +125,37 @@ class Scanner:
     def __init__(self, templates: list[tuple[str, str]]):
         self.templates = [(name, [m.group().lower() for m in _WORD.finditer(t)], len(_compressor().compress(_plain(t))), _compressor(_plain(t))) for name, t in templates]
         self.alone = _compressor()
+        self.counts = [Counter(words) for _, words, _, _ in self.templates]
+        self.reach = int(max((len(words) for _, words, _, _ in self.templates), default=0) * (1 + EDITS))
 
-    def ranked(self, block: str) -> list[tuple[int, int]]:
-        """``(saved bytes, template)``, the most first, of the templates that save enough."""
+    def ranked(self, block: str, among: Iterable[int] | None = None) -> list[tuple[int, int]]:
+        """``(saved bytes, template)``, the most first, of the templates (all, or those ``among``) that save enough."""
         data = _plain(block)
         size = len(self.alone.compress(data))
-        saved = [(size - len(c.compress(data)), k) for k, (_, _, _, c) in enumerate(self.templates)]
+        saved = [(size - len(self.templates[k][3].compress(data)), k) for k in (range(len(self.templates)) if among is None else among)]
         return sorted(((s, k) for s, k in saved if s >= max(LEAST_SAVED, SAVES * min(size, self.templates[k][2]))), key=lambda x: (-x[0], x[1]))
 
     def scan(self, text: str) -> Iterator[tuple[int, int, str, int, list[str], list[str]]]:
         """``(start, end, license, saved, missing, extra)`` of every confirmed license."""
-        for a, z in blocks(text):
-            found = [(m.group().lower(), m.start(), m.end()) for m in _WORD.finditer(text, a, z)]
-            words = [w for w, _, _ in found]
+        spans = np.array([m.span() for m in _WORD.finditer(text)], np.int64).reshape(-1, 2)
+        for a, z in blocks(text, spans, self.reach):
+            found = spans[a:z].tolist()
+            words = [text[s:e].lower() for s, e in found]
+            there = Counter(words)
             confirmed = []
-            for saved, k in self.ranked(text[a:z]):
-                name, template, _, _ = self.templates[k]
+            for k, (_, template, _, _) in enumerate(self.templates):
+                if sum((self.counts[k] - there).values()) > EDITS * len(template):
+                    continue
                 first, end, missing, extra = differences(template, words)
                 edits = max(len(missing), len(extra))
                 if edits <= EDITS * len(template) and first < end and not any(c.isdigit() for w in missing + extra for c in w):
-                    confirmed.append((edits / len(template), -saved, k, first, end, missing, extra))
+                    for saved, _ in self.ranked(" ".join(words[first:end]), [k]):
+                        confirmed.append((edits / len(template), -saved, k, first, end, missing, extra))
             taken: list[tuple[int, int]] = []
             for _, saved, k, first, end, missing, extra in sorted(confirmed, key=lambda x: x[:3]):
                 if all(end <= f or first >= e for f, e in taken):
                     taken.append((first, end))
-                    yield found[first][1], found[end - 1][2], self.templates[k][0], -saved, missing, extra
+                    yield found[first][0], found[end - 1][1], self.templates[k][0], -saved, missing, extra
 
 
 def scan(docs: DataFrame, templates: list[tuple[str, str]] = TEMPLATES) -> DataFrame:

@@ -1,4 +1,5 @@
 import random
+import textwrap
 
 from quern.llm import licenses as L
 
@@ -80,3 +81,17 @@ def test_table_with_nulls_repeats_and_clashing_columns(spark):
     got = [(r["doc_id"], r["license"], r["start"], r["end"]) for r in L.scan(df).collect()]
     assert sorted(got, key=str) == sorted([(1, "Apache-2.0", 0, 46), (1, "Apache-2.0", 0, 46), (None, "Apache-2.0", 0, 46)], key=str)
     assert L.scan(df.limit(0)).count() == 0 and L.scan(df, []).count() == 0
+
+
+def test_every_template_is_found_wrapped_in_comments_and_in_long_lines():
+    rng = random.Random(6)
+    prose = lambda n: " ".join("".join(rng.choices("abcdefgh", k=5)) for _ in range(n))
+    plain = lambda t: L._WORD.findall(t.lower())
+    for name, template in L.TEMPLATES:
+        texts = [f"{prose(900)}. {template} {prose(900)}."]
+        for width in (20, 33, 50, 79):
+            for mark in ("", "# ", " * ", "// "):
+                body = "\n".join(mark + x for x in textwrap.wrap(f"{template}", width, break_long_words=False, break_on_hyphens=False))
+                texts.append(f"{mark}{prose(9)}\n{mark}\n{body}\n{mark}\n{prose(300)}\n{prose(9)}")
+        for text in texts:
+            assert [(n, plain(t), m, e) for n, t, m, e in found(text)] == [(name, plain(template), [], [])], (name, text)
