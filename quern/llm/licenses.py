@@ -8,8 +8,10 @@ template is confirmed if at most ``EDITS`` of its words are missing, added or
 replaced and no word with a digit is (another version is another license).
 The words confirmed are compressed alone and with the template as a zstandard
 raw dictionary, which must save at least ``SAVES`` of what they or the template
-take alone. Of confirmed templates that overlap, the one with the smaller part
-of differing words stays, then the one that saves more.
+take alone. Of confirmed places that overlap, the one with the smaller part
+of differing words stays, then the one that saves more. Every place of a
+template counts; what is left between the places taken is aligned again until
+nothing more is confirmed.
 
 Each row is judged on its own, so nothing is shuffled.
 """
@@ -31,6 +33,7 @@ from quern.storage import table
 CUES = r"licen[sc]|copyright|permission\W+is\W+hereby|redistribut|warrant|rights\W+reserved|public\W+domain|as\W+is"
 SAVES, LEAST_SAVED = 0.4, 8
 EDITS = 0.15
+WINDOW = 4_096  #: words aligned together; windows share as many as the longest license may have
 
 _WARRANTY = 'THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED'
 _BSD = """Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:
@@ -93,8 +96,8 @@ def _compressor(dictionary: bytes | None = None) -> zstandard.ZstdCompressor:
     return zstandard.ZstdCompressor(level=9, dict_data=kept, write_content_size=False, write_checksum=False, write_dict_id=False)
 
 
-def differences(template: list[str], block: list[str]) -> tuple[int, int, list[str], list[str]]:
-    """``(first, end, missing, extra)``: the part of the block nearest to the whole template, the template's words that it lacks and its words that the template lacks (a replaced word counts as both). Of equally near parts the one that ends first; substitutions before other edits."""
+def _distances(template: list[str], block: list[str]) -> np.ndarray:
+    """``d[i, j]``: least edits from the first i words of the template to any part of the block that ends at j."""
     m, n = len(template), len(block)
     names = {w: i for i, w in enumerate(dict.fromkeys(template + block))}
     a, b = np.array([names[w] for w in template], np.int64), np.array([names[w] for w in block], np.int64)
@@ -104,12 +107,15 @@ def differences(template: list[str], block: list[str]) -> tuple[int, int, list[s
         row = d[i - 1] + 1
         row[1:] = np.minimum(row[1:], d[i - 1, :-1] + (b != a[i - 1]))
         d[i] = np.minimum.accumulate(row - ramp) + ramp
-    j = end = int(d[m].argmin())
-    i, missing, extra = m, [], []
+    return d
+
+
+def _traced(d: np.ndarray, template: list[str], block: list[str], end: int) -> tuple[int, int, list[str], list[str]]:
+    i, j, missing, extra = len(template), end, [], []
     while i:
-        if j and d[i, j] == d[i - 1, j - 1] + (a[i - 1] != b[j - 1]):
+        if j and d[i, j] == d[i - 1, j - 1] + (template[i - 1] != block[j - 1]):
             i, j = i - 1, j - 1
-            if a[i] != b[j]:
+            if template[i] != block[j]:
                 missing.append(template[i])
                 extra.append(block[j])
         elif d[i, j] == d[i - 1, j] + 1:
@@ -121,6 +127,26 @@ def differences(template: list[str], block: list[str]) -> tuple[int, int, list[s
     return j, end, missing[::-1], extra[::-1]
 
 
+def differences(template: list[str], block: list[str]) -> tuple[int, int, list[str], list[str]]:
+    """``(first, end, missing, extra)``: the part of the block nearest to the whole template, the template's words that it lacks and its words that the template lacks (a replaced word counts as both). Of equally near parts the one that ends first; substitutions before other edits."""
+    d = _distances(template, block)
+    return _traced(d, template, block, int(d[-1].argmin()))
+
+
+def places(template: list[str], block: list[str]) -> Iterator[tuple[int, int, list[str], list[str]]]:
+    """``differences`` at every part of the block that confirms the template and doesn't overlap a nearer one."""
+    most = EDITS * len(template)
+    d = _distances(template, block)
+    ends = np.flatnonzero(d[-1] <= 2 * most)
+    free = np.ones(len(block), bool)
+    for end in ends[np.lexsort((ends, d[-1][ends]))].tolist():
+        if end and free[end - 1]:
+            first, _, missing, extra = _traced(d, template, block, end)
+            if first < end and max(len(missing), len(extra)) <= most and free[first:end].all() and not any(c.isdigit() for w in missing + extra for c in w):
+                free[first:end] = False
+                yield first, end, missing, extra
+
+
 class Scanner:
     def __init__(self, templates: list[tuple[str, str]]):
         self.templates = [(name, [m.group().lower() for m in _WORD.finditer(t)], len(_compressor().compress(_plain(t))), _compressor(_plain(t))) for name, t in templates]
@@ -135,31 +161,44 @@ class Scanner:
         saved = [(size - len(self.templates[k][3].compress(data)), k) for k in (range(len(self.templates)) if among is None else among)]
         return sorted(((s, k) for s, k in saved if s >= max(LEAST_SAVED, SAVES * min(size, self.templates[k][2]))), key=lambda x: (-x[0], x[1]))
 
-    def scan(self, text: str) -> Iterator[tuple[int, int, str, int, list[str], list[str]]]:
-        """``(start, end, license, saved, missing, extra)`` of every confirmed license."""
-        spans = np.array([m.span() for m in _WORD.finditer(text)], np.int64).reshape(-1, 2)
-        for a, z in blocks(text, spans, self.reach):
-            found = spans[a:z].tolist()
-            words = [text[s:e].lower() for s, e in found]
-            there = Counter(words)
-            confirmed = []
+    def _taken(self, words: list[str]) -> list[tuple[int, int, int, int, list[str], list[str]]]:
+        """``(first, end, template, saved, missing, extra)`` of the confirmed places that stay, in order; there may be more between them."""
+        confirmed, window = [], max(WINDOW, 2 * self.reach)
+        for w in range(0, max(1, len(words) - self.reach), window - self.reach):
+            part = words[w : w + window]
+            there = Counter(part)
             for k, (_, template, _, _) in enumerate(self.templates):
                 if sum((self.counts[k] - there).values()) > EDITS * len(template):
                     continue
-                first, end, missing, extra = differences(template, words)
-                edits = max(len(missing), len(extra))
-                if edits <= EDITS * len(template) and first < end and not any(c.isdigit() for w in missing + extra for c in w):
-                    for saved, _ in self.ranked(" ".join(words[first:end]), [k]):
-                        confirmed.append((edits / len(template), -saved, k, first, end, missing, extra))
-            taken: list[tuple[int, int]] = []
-            for _, saved, k, first, end, missing, extra in sorted(confirmed, key=lambda x: x[:3]):
-                if all(end <= f or first >= e for f, e in taken):
-                    taken.append((first, end))
-                    yield found[first][0], found[end - 1][1], self.templates[k][0], -saved, missing, extra
+                for first, end, missing, extra in places(template, part):
+                    for saved, _ in self.ranked(" ".join(part[first:end]), [k]):
+                        confirmed.append((max(len(missing), len(extra)) / len(template), -saved, k, w + first, w + end, missing, extra))
+        taken = []
+        free = np.ones(len(words), bool)
+        for _, saved, k, first, end, missing, extra in sorted(confirmed, key=lambda x: x[:5]):
+            if free[first:end].all():
+                free[first:end] = False
+                taken.append((first, end, k, -saved, missing, extra))
+        return sorted(taken)
+
+    def scan(self, text: str) -> Iterator[tuple[int, int, str, int, list[str], list[str]]]:
+        """``(start, end, license, saved, missing, extra)`` of every confirmed license."""
+        spans = np.array([m.span() for m in _WORD.finditer(text)], np.int64).reshape(-1, 2)
+        for block in blocks(text, spans, self.reach):
+            stretches = [block]
+            while stretches:
+                a, z = stretches.pop()
+                found = spans[a:z].tolist()
+                taken = self._taken([text[s:e].lower() for s, e in found])
+                for first, end, k, saved, missing, extra in taken:
+                    yield found[first][0], found[end - 1][1], self.templates[k][0], saved, missing, extra
+                if taken:
+                    left = zip([0, *(x[1] for x in taken)], [*(x[0] for x in taken), z - a])
+                    stretches += [(a + lo, a + hi) for lo, hi in left if lo < hi]
 
 
 def scan(docs: DataFrame, templates: list[tuple[str, str]] = TEMPLATES) -> DataFrame:
-    """``(doc_id, start, end, license, saved, missing, extra)``, one row per confirmed license of every row of ``docs``.
+    """``(doc_id, start, end, license, saved, missing, extra)``, one row per place of a confirmed license of every row of ``docs``.
 
     ``start`` and ``end`` count code points. Null and empty texts have no license; a null or repeated doc_id is
     passed through; without rows or templates the result is empty.

@@ -95,3 +95,18 @@ def test_every_template_is_found_wrapped_in_comments_and_in_long_lines():
                 texts.append(f"{mark}{prose(9)}\n{mark}\n{body}\n{mark}\n{prose(300)}\n{prose(9)}")
         for text in texts:
             assert [(n, plain(t), m, e) for n, t, m, e in found(text)] == [(name, plain(template), [], [])], (name, text)
+
+
+def test_every_place_of_repeated_and_nested_wording_is_found():
+    assert names("a: Released under the MIT License. / b: Released under the MIT License.") == ["MIT"] * 2
+    assert names("\n".join(f"(c) {y} Someone. All rights reserved." for y in range(2000, 2007))) == ["all-rights-reserved"] * 7
+    long = L.TEMPLATES[4][1]
+    hits = [t for _, t, _, _ in found(f"{long}\nThe rest: {APACHE}\n{long}")]
+    assert [len(t) for t in sorted(hits, key=len)] == [len(APACHE) - 1, len(long), len(long)]
+    # many, over several windows, among them places that share words with no other
+    many = found("".join(f"p{i}: {APACHE} q{i}: Released under the MIT License.\n" for i in range(1_500)))
+    assert sorted(n for n, *_ in many) == ["Apache-2.0"] * 1_500 + ["MIT"] * 1_500
+    assert len(found(f"{MIT}\n\n" * 90)) == 90
+    # the second place lacks its first word: it is found in what the first one leaves
+    words = L.TEMPLATES[1][1].split()
+    assert names(" ".join(words + words[1:])) == ["MIT"] * 2
