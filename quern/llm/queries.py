@@ -19,6 +19,5 @@ QUERIES = {
 ORACLE_SQL: dict[str, str] = {
     "op2_url_filter": urls.SQL,
     "op4_language_id": langid.SQL,
-    "op8_chat_format": chat.op8_chat_format,
     "op9_capture_index": warc.SQL,
 }

@@ -45,3 +45,14 @@ def test_a_query_matches_its_sql(spark):
 
 def test_flagship_query(spark):
     assert 0 < entry.entry(spark).count() < 200
+
+
+def test_every_sql_is_a_string_that_duckdb_can_plan():
+    import duckdb
+
+    con = duckdb.connect()
+    for path in Path("/root/testdata/sf0.001").glob("*.parquet"):
+        con.execute(f"CREATE VIEW {path.stem} AS SELECT * FROM '{path}'")
+    for name, sql in entry.oracle_sql().items():
+        assert isinstance(sql, str), name
+        con.execute(f"EXPLAIN {sql}")
