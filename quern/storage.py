@@ -4,15 +4,20 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
+
+from quern.errors import StorageError
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder named in ``spark.checkpoint.dir``; where that is unset (tests, one machine) a temporary one, set for the session."""
+    """The folder named in ``spark.checkpoint.dir``. Where that is unset: on one machine a temporary one, set for the session; on a cluster an error, as a folder of one machine would leave the others' rows behind."""
     sc = spark.sparkContext
     named = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
     if not named:
+        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+            raise StorageError("spark.checkpoint.dir has to name a folder that all executors share")
         named = "file://" + tempfile.mkdtemp(prefix="quern-")
         sc.setCheckpointDir(named)
     return named.rstrip("/")
@@ -22,13 +27,21 @@ def shared_path(spark: SparkSession, what: str) -> str:
     return f"{shared_folder(spark)}/quern-{what}-{uuid.uuid4().hex}"
 
 
-def written(df: DataFrame, what: str = "table") -> DataFrame:
-    """The same rows, written to the shared folder as Parquet and read from there: the plan before it runs once and is not needed again if an executor is lost."""
+def written(df: DataFrame, what: str = "table", done: Iterable[DataFrame] = ()) -> DataFrame:
+    """The same rows, written to the shared folder as Parquet and read from there: the plan before it runs once and is not needed again if an executor is lost. Tables in ``done``, made by this function for this one alone, are removed then."""
     path = shared_path(df.sparkSession, what)
     df.write.parquet(path)
+    for before in done:
+        dropped(before)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def observed(df: DataFrame, what: str, done: Iterable[DataFrame] = (), **figures: Column) -> tuple[DataFrame, dict]:
+    """As :func:`written`, with aggregates of the rows taken while they are written."""
+    seen = Observation()
+    return written(df.observe(seen, *(c.alias(name) for name, c in figures.items())), what, done), seen.get
+
+
 def dropped(df: DataFrame) -> None:
     """Remove the files of a table made by :func:`written` that nothing reads any more."""
     spark = df.sparkSession
