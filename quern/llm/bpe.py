@@ -16,6 +16,7 @@ compared with its bytes.
 from __future__ import annotations
 
 import base64
+import os
 import unicodedata
 from collections.abc import Iterator
 from functools import lru_cache
@@ -27,7 +28,7 @@ from pyspark.sql import DataFrame, SparkSession
 from quern.llm.text import _BASE, chunks, mix
 from quern.storage import table
 
-VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
+VOCABULARY = os.environ.get("QUERN_BYTE_BPE", "/opt/tokenizers/byte_bpe_50k.tiktoken")  #: rank file
 _LONG = 64  # bytes from which a word has a tree of its own
 _KEPT = 400_000  # words remembered by a worker before it starts afresh
 _NONE = np.int64(np.iinfo(np.int64).max)
@@ -325,6 +326,8 @@ def _encoder(shared) -> Encoder:
 def encode(docs: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
     """``(doc_id, n_tokens, tokens, round_trip)`` for every row: the ids of the whole text, and whether decoding them gives its bytes back.
 
+    Words are told apart by 64-bit hashes. Should two of one hash meet, the row does not decode to its bytes and is
+    encoded again with nothing remembered; round_trip is false only if they meet within that row.
     An empty text has no tokens; a null text has null in all three columns; doc_id is passed through, null or
     repeated. The file of the vocabulary is read by the driver; its size, and so that of the broadcast, does not
     depend on the data.
@@ -343,8 +346,17 @@ def encode(docs: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
                 same = np.ones(hi - lo, bool)
                 if not np.array_equal(decoded, data):
                     e.forget()
-                    for r in range(hi - lo):
-                        same[r] = e.decode(ids[bounds[r] : bounds[r + 1]]).tobytes() == cp[off[r] : off[r + 1]].tobytes().decode("utf-32-le").encode()
+                    each = []
+                    for r in range(hi - lo):  # two words of one hash, in memory or within the chunk: each row again, on its own
+                        part = cp[off[r] : off[r + 1]]
+                        raw = part.tobytes().decode("utf-32-le").encode()
+                        own = ids[bounds[r] : bounds[r + 1]]
+                        if e.decode(own).tobytes() != raw:
+                            e.forget()
+                            own, _ = e.encode(part, np.array([0, len(part)]), np.frombuffer(raw, np.uint8))
+                            same[r] = e.decode(own).tobytes() == raw
+                        each.append(own)
+                    ids, bounds = np.concatenate(each), np.cumsum([0, *map(len, each)])
                 null = text.slice(lo, hi - lo).is_null().to_numpy(zero_copy_only=False)
                 starts = pa.array(bounds.astype(np.int32), mask=np.append(null, False)) if null.any() else pa.array(bounds.astype(np.int32))
                 yield pa.RecordBatch.from_arrays([b.column("doc_id").slice(lo, hi - lo).cast(pa.int64()), pa.array(np.diff(bounds), mask=null), pa.ListArray.from_arrays(starts, pa.array(ids, pa.int32())), pa.array(same, mask=null)], ["doc_id", "n_tokens", "tokens", "round_trip"])
@@ -367,4 +379,5 @@ def decode(tokens: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
 
 
 def op7_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``(doc_id, n_tokens, tokens, round_trip)`` of every document."""
     return encode(table(spark, sf_dir, "documents"))

@@ -236,4 +236,5 @@ def format_conversations(conversations: DataFrame) -> DataFrame:
 
 
 def op8_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``(conv_id, roles, rendered)`` of every conversation."""
     return format_conversations(table(spark, sf_dir, "conversations"))

@@ -28,6 +28,7 @@ from quern.storage import table
 BUCKETS = 1 << 16
 SMOOTHING = 1.0
 MARGIN = 12.0
+LANGUAGES = 400  #: most languages that a table may declare; the matrix takes 0.5 MB for each
 _MULT = (1, 31_337, 982_451_653)  # of the first, second and third code point
 _SHIFT = (0, 7, 15_485_863)  # of the orders
 
@@ -49,7 +50,9 @@ def gram_buckets(cp: np.ndarray, off: np.ndarray) -> Iterator[np.ndarray]:
 
 def train(docs: DataFrame) -> tuple[list[str], np.ndarray, np.ndarray]:
     """``(languages, log probabilities (BUCKETS + 1, languages), log priors)`` from all documents with a declared language. The last row is zero and stands for no n-gram."""
-    names = sorted(r[0] for r in docs.where("lang is not null").groupBy("lang").count().collect())
+    names = sorted(r[0] for r in docs.where("lang is not null").groupBy("lang").count().limit(LANGUAGES + 1).collect())
+    if len(names) > LANGUAGES:
+        raise ValueError(f"the column lang holds {len(names)} or more different values, above {LANGUAGES}: is it one of languages?")
     place = {x: i for i, x in enumerate(names)}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -119,7 +122,7 @@ def _judged(model: tuple[list[str], np.ndarray, np.ndarray], text: pa.Array, lan
 
 
 def identify(docs: DataFrame) -> DataFrame:
-    """``(doc_id, language, margin, keep)`` for every row. ``language`` is null where a text holds no letter, digit or underscore (null and empty texts too), and such rows are not kept; ``margin`` is 0 where the declared language is the best, null or unknown to the model."""
+    """``(doc_id, language, margin, keep)`` for every row. ``language`` is null where a text holds no letter, digit or underscore (null and empty texts too), and such rows are not kept; ``margin`` is 0 where the declared language is the best, null or unknown to the model. Of languages that score alike the first by name is the best. doc_id is passed through, null or repeated; texts are scored whole, equal ones alike. A table that declares more than ``LANGUAGES`` values raises ValueError."""
     shared = docs.sparkSession.sparkContext.broadcast(train(docs))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -216,4 +216,5 @@ def scan(docs: DataFrame, templates: list[tuple[str, str]] = TEMPLATES) -> DataF
 
 
 def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every place of a license in every document, by the production templates, as :func:`scan` gives them."""
     return scan(table(spark, sf_dir, "documents"))

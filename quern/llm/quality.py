@@ -10,7 +10,7 @@ is 4 MB a task whatever the vocabulary.
 
 A document is pooled to the mean and the standard deviation of its token
 vectors. The network is fitted on at most ``TRAIN_ROWS`` labelled documents
-(those of least hash of doc_id); a fifth of them is held out to fit the
+(of the labels that have a document, those of least hash of doc_id); a fifth of them is held out to fit the
 temperature that calibrates the probabilities.
 """
 
@@ -173,7 +173,8 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> tuple[n
     class are left.
     """
     vectors = word_vectors(docs)
-    known = labels.where("doc_id is not null and quality is not null").groupBy("doc_id").agg(F.avg("quality").alias("q"))
+    known = labels.where("doc_id is not null and quality is not null").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.avg("quality").alias("q"))
+    known = known.join(docs.select(F.col("doc_id").cast("long").alias("doc_id")), "doc_id", "left_semi")
     picked = {r["doc_id"]: r["q"] >= 0.5 for r in known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows).collect()}
     ids = np.array(sorted(picked), np.int64)
     shared = docs.sparkSession.sparkContext.broadcast((ids, vectors))

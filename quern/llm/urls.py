@@ -7,8 +7,10 @@ and path segments decides; if it is listed both ways, block wins. Ports,
 user names, queries, fragments, empty segments and a final dot of the host do
 not count; hosts compare in lower case, paths as written.
 
-A list of at most ``BROADCAST_ENTRIES`` is broadcast as a trie; a longer one is
-joined on the prefixes of each URL, with the same result.
+A list of at most ``BROADCAST_ENTRIES`` entries and ``BROADCAST_BYTES`` bytes is
+broadcast as a trie (some 40 MB at most in each worker: a node for every label
+and segment); a longer one is joined on the prefixes of each URL, with the same
+result.
 """
 
 from __future__ import annotations
@@ -21,7 +23,7 @@ from pyspark.sql import functions as F
 
 from quern.storage import table
 
-BROADCAST_ENTRIES = 1_000_000
+BROADCAST_ENTRIES, BROADCAST_BYTES = 50_000, 4 << 20
 
 #: (action, entry) of the production list.
 ENTRIES = [
@@ -57,11 +59,11 @@ def path(url: Column) -> Column:
 
 def _parts(entry: str) -> tuple[list[str], list[str]]:
     name, _, rest = entry.partition("/")
-    return [x for x in reversed(name.lower().rstrip(".").split(".")) if x], [x for x in rest.split("/") if x]
+    return name.lower().removesuffix(".").split(".")[::-1], [x for x in rest.split("/") if x]
 
 
 class Trie:
-    """Nodes are dicts; a host ends, and its path begins, at the key ``""``, which no label or segment is."""
+    """Nodes are dicts; a host ends, and its path begins, at the key ``"/"``, which no label or segment can be (an empty label can). Of the spellings of one entry the least is named."""
 
     def __init__(self, entries: list[tuple[str, str]]):
         self.root: dict = {}
@@ -70,9 +72,9 @@ class Trie:
                 continue
             labels, segments = _parts(entry)
             node = self.root
-            for x in labels + ([""] + segments if segments else []):
+            for x in labels + (["/", *segments] if segments else []):
                 node = node.setdefault(x, {})
-            if node.get(None, ("",))[0] != "block":
+            if None not in node or (node[None][0] == "allow", node[None][1]) > (action == "allow", entry):
                 node[None] = (action, entry)
 
     def match(self, host: str, path: str) -> tuple[str, str] | None:
@@ -83,7 +85,7 @@ class Trie:
             if node is None:
                 return best
             best = node.get(None, best)
-        node = node.get("")
+        node = node.get("/")
         for segment in path.split("/")[1:] if node else ():
             node = node.get(segment)
             if node is None:
@@ -108,6 +110,8 @@ def _by_join(urls: DataFrame, entries: DataFrame) -> DataFrame:
     rest = F.expr("regexp_replace(regexp_replace(substring(entry, length(split_part(entry, '/', 1)) + 1), '/+', '/'), '/$', '')")
     listed = entries.where("action in ('allow', 'block') and entry <> ''").select("action", "entry", name.alias("name"), rest.alias("rest"))
     listed = listed.select("action", "entry", F.concat(F.when(F.col("rest") == "", "h:").otherwise("p:"), "name", "rest").alias("key"), (F.size(F.split("name", r"\.")) + F.size(F.split("rest", "/")) - 1).alias("depth"))
+    first = F.min_by(F.struct("action", "entry"), F.struct(F.col("action") == "allow", "entry"))
+    listed = listed.groupBy("key", "depth").agg(first.alias("x")).select("key", "depth", "x.*")
     keys = F.expr("""concat(
         transform(sequence(1, size(labels)), i -> concat('h:', array_join(slice(labels, i, size(labels) - i + 1), '.'))),
         if(path = '', array(), transform(sequence(2, size(split(path, '/'))), i -> concat('p:', host, array_join(slice(split(path, '/'), 1, i), '/')))))""")
@@ -116,22 +120,23 @@ def _by_join(urls: DataFrame, entries: DataFrame) -> DataFrame:
     return urls.join(best, "row", "left").select("page_id", "url", "best.action", "best.entry")
 
 
-def judge(pages: DataFrame, entries: DataFrame, broadcast_entries: int = BROADCAST_ENTRIES) -> DataFrame:
+def judge(pages: DataFrame, entries: DataFrame, broadcast_entries: int = BROADCAST_ENTRIES, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
     """``(page_id, url, action, entry)`` for every row: the action of the longest match and the entry it came from, both null where no entry covers the URL.
 
     Null, empty and relative URLs are covered by no entry. Entries that are null, empty or of another action
-    count as absent; repeated ones count once. page_id is passed through. Of two spellings of one entry either
-    may be named.
+    count as absent; repeated ones count once. page_id is passed through, null or repeated. Of the spellings of one
+    entry the least is named.
     """
     urls = pages.select(F.col("page_id").cast("long"), "url").select("page_id", "url", F.coalesce(host(F.col("url")), F.lit("")).alias("host"), F.coalesce(path(F.col("url")), F.lit("")).alias("path"))
     listed = entries.select("action", "entry").where("action is not null and entry is not null").distinct()
-    some = listed.limit(broadcast_entries + 1).collect()
-    if len(some) <= broadcast_entries:
-        return _by_trie(urls, Trie([tuple(r) for r in sorted(some)]))
+    size = listed.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.octet_length("entry")), F.lit(0)).alias("bytes")).first()
+    if size["n"] <= broadcast_entries and size["bytes"] <= broadcast_bytes:
+        return _by_trie(urls, Trie([tuple(r) for r in listed.collect()]))
     return _by_join(urls.withColumn("row", F.monotonically_increasing_id()), listed)
 
 
 def op2_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``(page_id, url, action, entry)`` of every page, by the production list."""
     return judge(table(spark, sf_dir, "pages"), spark.createDataFrame(ENTRIES, "action string, entry string"))
 
 

@@ -15,16 +15,19 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quern.llm.urls import _HOST
-from quern.storage import table, written
+from quern.storage import observed, table, written
 
 RUN_ROWS = 200_000  #: captures that are sorted at a time; a task with more makes several runs
-_KEY = ("surt", "captured", "page_id")
+RANGE_ROWS = 2_000_000  #: captures that a range holds about (some 200 MB)
+_KEY = ("surt", "captured", "page_id", "digest")
+_AHEAD = 1_024  # keys of a piece that are decoded at a time
 _TAIL = r"^[a-zA-Z][a-zA-Z0-9+.\-]*://[^/?#]*([^#]*)"
 
 
@@ -72,10 +75,10 @@ class LoserTree:
             self._play(w)
 
 
-def _keys(table: pa.Table) -> list[tuple]:
-    """Comparable keys; a null time or page goes first."""
-    surt, captured, page = (table[c].to_pylist() for c in _KEY)
-    return [(s, c is not None, c or 0, p is not None, p or 0) for s, c, p in zip(surt, captured, page)]
+def _keys(table: pa.Table | pa.RecordBatch) -> list[tuple]:
+    """Comparable keys; a null time, page or digest goes first."""
+    surt, captured, page, digest = (table[c].to_pylist() for c in _KEY)
+    return [(s, c is not None, c or 0, p is not None, p or 0, d or "") for s, c, p, d in zip(surt, captured, page, digest)]
 
 
 def _sorted_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -99,44 +102,65 @@ def _sorted_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    held = list(batches)
-    if not held or not sum(b.num_rows for b in held):
-        return
-    table = pa.Table.from_batches(held)
-    keys, runs = _keys(table), table["run"].to_pylist()
-    # pieces of runs: a new one begins with another run or where the order breaks (two files of one range)
-    starts = [0, *(i for i in range(1, len(keys)) if runs[i] != runs[i - 1] or keys[i] < keys[i - 1]), len(keys)]
-    pieces = list(zip(starts, starts[1:]))
-    at = [a for a, _ in pieces]
-    order = []
-    for w in LoserTree([keys[a] for a, _ in pieces]).merge([iter(keys[a + 1 : b]) for a, b in pieces]):
+    """A range's pieces of runs, merged. They are held as they came, in Arrow's form; keys are decoded a little ahead of the tree."""
+    held, pieces = [], []
+    for b in batches:
+        if not b.num_rows:
+            continue
+        keys, runs = _keys(b), b.column("run").to_pylist()
+        # a new piece begins with a batch, with another run or where the order breaks (two files of one range)
+        starts = [0, *(i for i in range(1, len(keys)) if runs[i] != runs[i - 1] or keys[i] < keys[i - 1]), len(keys)]
+        pieces += [(len(held), x, z) for x, z in zip(starts, starts[1:])]
+        held.append(b.drop_columns("run"))
+
+    def ahead(batch: int, first: int, end: int) -> Iterator[tuple]:
+        for lo in range(first, end, _AHEAD):
+            yield from _keys(held[batch].slice(lo, min(_AHEAD, end - lo)))
+
+    rest = [ahead(*p) for p in pieces]
+    before = np.cumsum([0, *(b.num_rows for b in held)])
+    at = [int(before[b]) + lo for b, lo, _ in pieces]
+    whole, order = pa.Table.from_batches(held) if held else None, []
+    n = nth = 0
+    last = None
+
+    def out() -> Iterator[pa.RecordBatch]:
+        nonlocal n, nth, last
+        table = whole.take(pa.array(order, pa.int64()))
+        numbers = []
+        for s in table["surt"].to_pylist():
+            nth = nth + 1 if s == last else 1
+            last = s
+            numbers.append(nth)
+        table = table.append_column("nth", pa.array(numbers, pa.int64())).append_column("part", pa.array([TaskContext.get().partitionId()] * len(order), pa.int64())).append_column("at", pa.array(range(n, n + len(order)), pa.int64()))
+        n += len(order)
+        yield from table.combine_chunks().to_batches()
+
+    for w in LoserTree([next(r) for r in rest]).merge(rest):
         order.append(at[w])
         at[w] += 1
-    table = table.take(pa.array(order, pa.int64())).drop_columns("run")
-    nth, last = [], None
-    for s in table["surt"].to_pylist():
-        nth.append(nth[-1] + 1 if s == last else 1)
-        last = s
-    n = len(nth)
-    table = table.append_column("nth", pa.array(nth, pa.int64())).append_column("part", pa.array([TaskContext.get().partitionId()] * n, pa.int64())).append_column("at", pa.array(range(n), pa.int64()))
-    yield from table.combine_chunks().to_batches()
+        if len(order) == 1 << 16:
+            yield from out()
+            order = []
+    if order:
+        yield from out()
 
 
 def capture_histories(captures: DataFrame, ranges: int | None = None) -> DataFrame:
     """``(position, surt, captured, page_id, nth, repeats, n_bytes, digest)``, one row per capture.
 
     ``captures`` has page_id, url, captured (whole seconds) and html. Rows are ordered by URL key (as UTF-8
-    bytes), time and page_id, nulls first; ``position`` counts from 1 over all, ``nth`` from 1 within a key.
+    bytes), time, page_id and digest of the body, nulls first; ``position`` counts from 1 over all, ``nth`` from 1 within a key.
     ``repeats`` says whether the body equals that of the key's capture before. Null and relative URLs share the empty key.
-    A null body has null digest and size and repeats nothing. Captures equal in all three parts of the key
-    are each kept, the lesser digest first. An empty table gives an empty one.
+    A null body has null digest and size and repeats nothing. Captures equal in all parts of the key are each
+    kept. An empty table gives an empty one.
     """
     spark = captures.sparkSession
-    n = ranges or int(spark.conf.get("spark.sql.shuffle.partitions"))
     rows = captures.select(url_key(F.col("url")).alias("surt"), F.col("captured").cast("long"), F.col("page_id").cast("long"), F.octet_length("html").cast("long").alias("n_bytes"), F.md5("html").alias("digest"))
     schema = "surt string, captured long, page_id long, n_bytes long, digest string"
-    runs = written(rows.mapInArrow(_sorted_runs, schema + ", run long"), "runs")
-    merged = written(runs.repartitionByRange(n, *_KEY).mapInArrow(_merged, schema + ", nth long, part long, at long"), "merged")
+    runs, seen = observed(rows.mapInArrow(_sorted_runs, schema + ", run long"), "runs", n=F.count("*"))
+    n = ranges or max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-seen["n"] // RANGE_ROWS))
+    merged = written(runs.repartitionByRange(n, *_KEY).mapInArrow(_merged, schema + ", nth long, part long, at long"), "merged", [runs])
     ends = merged.groupBy("part").agg(F.count("*").alias("n"), F.min("surt").alias("first"), F.max("surt").alias("last"), F.max_by("nth", "at").alias("nth"), F.max_by("digest", "at").alias("digest")).orderBy("part").collect()
     before, carry, last, digest, book = 0, 0, None, None, []
     for e in ends:  # one row per range
@@ -146,11 +170,8 @@ def capture_histories(captures: DataFrame, ranges: int | None = None) -> DataFra
         carry = e["nth"] + (carry if e["first"] == e["last"] else 0)
         before, last, digest = before + e["n"], e["last"], e["digest"]
     books = spark.createDataFrame(book, "part long, before long, first string, carry long, end string")
-    joined = merged.join(F.broadcast(books), "part") if n <= 100_000 else merged.join(books, "part")
-    held = F.lag("digest").over
-    from pyspark.sql import Window
-
-    previous = held(Window.partitionBy("part").orderBy("at"))
+    joined = merged.join(F.broadcast(books), "part")  # a row for every range
+    previous = F.lag("digest").over(Window.partitionBy("part").orderBy("at"))
     carried = F.col("surt") == F.col("first")
     nth = F.col("nth") + F.when(carried, F.col("carry")).otherwise(0)
     former = F.when((F.col("nth") == 1) & carried, F.col("end")).when(F.col("nth") > 1, previous)

@@ -4,7 +4,7 @@ import pytest
 
 from quern.llm import urls as U
 
-ENTRIES = [("block", "a.com"), ("allow", "b.a.com"), ("block", "b.a.com/x"), ("allow", "b.a.com/x/y"), ("block", "c.org/p"), ("allow", "d.net"), ("block", "d.net"), ("nonsense", "e.net"), ("block", ""), (None, "f.net"), ("block", None), ("block", "a.com")]
+ENTRIES = [("block", "a.com"), ("allow", "b.a.com"), ("block", "b.a.com/x"), ("allow", "b.a.com/x/y"), ("block", "c.org/p"), ("allow", "d.net"), ("block", "d.net"), ("nonsense", "e.net"), ("block", ""), (None, "f.net"), ("block", None), ("block", "a.com"), ("block", "g.net/login"), ("allow", "h..net"), ("block", "A.com/Q"), ("block", "a.com/Q/"), ("allow", "i.net."), ("allow", "I.net")]
 
 
 def brute(url):
@@ -21,17 +21,19 @@ def brute(url):
             continue
         name, _, rest = entry.partition("/")
         rest = [x for x in rest.split("/") if x]
+        name = name.lower().removesuffix(".")
         hit = host == name and path[: len(rest)] == rest if rest else host == name or host.endswith("." + name)
         if hit:
-            best = max(best or (0, "", ""), (name.count(".") + 1 + len(rest), action, entry))
-    return best and best[1:]
+            mine = (-name.lower().removesuffix(".").count(".") - len(rest), action == "allow", entry)
+            best = min(best or mine, mine)
+    return best and ("allow" if best[1] else "block", best[2])
 
 
 def some_urls():
     rng = random.Random(2)
-    hosts = ["a.com", "b.a.com", "z.b.a.com", "c.org", "www.c.org", "d.net", "e.net", "f.net", "xa.com", "A.COM.", "u:p@a.com:80", ""]
-    paths = ["", "/", "/x", "/x/y", "/x//y/z", "/xy", "/p", "/p/", "/p?q=/x", "/x/y#f", "/é"]
-    return [f"{rng.choice(['http', 'https', 'ftp'])}://{rng.choice(hosts)}{rng.choice(paths)}" for _ in range(400)] + [None, "", "a.com/x", "/x", "mailto:x@a.com", "http://", "http://a.com/" + "x/" * 5000]
+    hosts = ["a.com", "b.a.com", "z.b.a.com", "c.org", "www.c.org", "d.net", "e.net", "f.net", "xa.com", "A.COM.", "u:p@a.com:80", "", "g.net", "login..g.net", "h..net", "x.h..net", "h.net", "i.net", ".", "..a.com"]
+    paths = ["", "/", "/x", "/x/y", "/x//y/z", "/xy", "/p", "/p/", "/p?q=/x", "/x/y#f", "/é", "/login", "//login", "/Q/r"]
+    return [f"{rng.choice(['http', 'https', 'ftp'])}://{rng.choice(hosts)}{rng.choice(paths)}" for _ in range(1500)] + [None, "", "a.com/x", "/x", "mailto:x@a.com", "http://", "http://a.com/" + "x/" * 5000]
 
 
 @pytest.mark.parametrize("limit", [1000, 0])

@@ -26,7 +26,7 @@ def captures(n=400):
     rng = random.Random(4)
     urls = [f"http://{h}{p}" for h in ("www.a.com", "a.com", "b.a.com:80", "A.COM.", "z.org") for p in ("", "/", "/x?q=1", "/x?q=2#f")] + [None, "", "rel/x"]
     rows = [(i, rng.choice(urls), rng.choice([None, *range(5)]), rng.choice(["p", "q", None, ""])) for i in range(n)]
-    return rows + rows[:20] + [(None, urls[0], 3, "p")] * 3
+    return rows + rows[:20] + [(None, urls[0], 3, "p")] * 3 + [(7, urls[0], 1, body) for body in "pqpq"] + [(7, urls[0], 1, None)]
 
 
 def brute(rows):
@@ -46,7 +46,7 @@ def test_histories_equal_brute_force(spark, monkeypatch, ranges, run_rows):
     assert [r["position"] for r in got] == list(range(1, len(rows) + 1))
     for g, w in zip(got, want):
         assert (g["surt"], g["captured"], g["page_id"], g["nth"], g["n_bytes"]) == (w[1], w[2], w[3], w[4], w[6])
-    # captures that are equal in the whole key: any order, the lesser digest first
+    # of captures of one key, time and page the lesser digest is first
     assert [r["digest"] for r in got] == [w[7] for w in want] and [r["repeats"] for r in got] == [w[5] for w in want]
 
 
@@ -56,6 +56,13 @@ def test_empty_table_and_clashing_columns(spark):
     assert W.capture_histories(df).columns == ["position", "surt", "captured", "page_id", "nth", "repeats", "n_bytes", "digest"]
 
 
+def test_a_very_long_body_and_a_hot_url(spark):
+    rows = [(1, "http://a.com/", 5, "x" * 5_000_000), (2, "http://a.com/", 6, "x" * 5_000_000)] + [(i, "http://hot.org/", i, "same") for i in range(3000)]
+    got = W.capture_histories(spark.createDataFrame(rows, SCHEMA), 7).orderBy("position").collect()
+    assert [r["repeats"] for r in got[:2]] == [False, True] and got[1]["n_bytes"] == 5_000_000
+    assert [r["nth"] for r in got[2:]] == list(range(1, 3001)) and all(r["repeats"] for r in got[3:])
+
+
 def test_keys(spark):
     for url, key in (("http://WWW2.Example.com:8080/A?b=c#d", "com,example)/A?b=c"), ("https://u@x.org", "org,x)/"), ("x", ""), (None, "")):
         got = spark.createDataFrame([(url,)], "url string").select(W.url_key(W.F.col("url")).alias("k")).first()["k"]
