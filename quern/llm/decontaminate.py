@@ -1,12 +1,18 @@
 """Benchmark decontamination: word n-grams of the test items find passages, Smith-Waterman alignment scores them.
 
 The seeds of an item are all its runs of three words, however often documents
-hold them: which of them an edit leaves whole differs from copy to copy. A passage around a seed, as long as the item with a margin on both sides,
+hold them: which of them an edit leaves whole differs from copy to copy. A
+passage around a seed, as long as the item with a margin on both sides,
 that holds enough of the item's words to reach the threshold at all
 is aligned with the item word by word: a local alignment with +2 for an equal
 word and -1 for a replaced, missing or added one. The score is that sum over the
 most it could be, 2 x the item's words; from ``THRESHOLD`` on the document
-holds the item, exact or edited.
+holds the item, exact or edited. Words are runs of letters and digits, single
+letters in scripts without spaces.
+
+Parts of an item of fewer than ``SHORT`` words are no evidence: it must stand
+there whole (score 1), and one of fewer than three words, which has no seed,
+must be the whole text of the document.
 
 Nothing of a document is shuffled: items and seeds are broadcast, at most
 ``SLICE_WORDS`` words of items at a time. A larger benchmark is taken in
@@ -25,7 +31,7 @@ from quern.llm.text import Words, chunks, gram_hashes, mix
 from quern.storage import table
 
 SEED = 3
-LEAST_WORDS = 5  #: shorter items are no evidence of anything
+SHORT = 5  #: words from which a part of an item counts
 THRESHOLD = 0.45
 SLICE_WORDS = 4_000_000
 POSTINGS = 1_000_000  #: occurrences of seeds that are looked at together, and words of passages; a row is not divided
@@ -38,13 +44,16 @@ class Items:
 
     def __init__(self, ids: list, texts: list[str]):
         self.ids, self.words = [], []
+        self.brief: dict[tuple, list[int]] = {}
         seeds, owner, place = [], [], []
         for lo, hi, cp, off in chunks(pa.array(texts, pa.string())):
             w = Words(cp, off)
             h, at = gram_hashes(w, SEED)
             of = w.doc[at]
             for r in range(hi - lo):
-                if w.bounds[r + 1] - w.bounds[r] >= LEAST_WORDS:
+                if w.bounds[r + 1] > w.bounds[r]:
+                    if w.bounds[r + 1] - w.bounds[r] < SEED:
+                        self.brief.setdefault(tuple(w.hash[w.bounds[r] : w.bounds[r + 1]].tolist()), []).append(len(self.ids))
                     mine = np.flatnonzero(of == r) if hi - lo < 2 else slice(*np.searchsorted(of, [r, r + 1]))
                     seeds.append(h[mine])
                     place.append(at[mine] - w.bounds[r])
@@ -127,7 +136,17 @@ def _held(items: Items, words: Words, item: np.ndarray, lo: np.ndarray, hi: np.n
 
 
 def aligned(items: Items, words: Words, threshold: float = THRESHOLD) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """``(row, item index, score)`` for each pair of a chunk that shares a seed and may reach the threshold: the best of its passages."""
+    """``(row, item index, score)`` for each pair of a chunk that shares a seed and may reach the threshold: the best of its passages. Short items count where they are whole."""
+    size = np.diff(words.bounds)
+    brief = []
+    for r in np.flatnonzero((size > 0) & (size < SEED)).tolist() if items.brief else ():
+        brief += [(r, i) for i in items.brief.get(tuple(words.hash[words.bounds[r] : words.bounds[r + 1]].tolist()), ())]
+    row, item, score = _by_seeds(items, words, threshold)
+    ok = (items.size[item] >= SHORT) | (score >= 1)
+    return np.append(row[ok], [r for r, _ in brief]).astype(np.int64), np.append(item[ok], [i for _, i in brief]).astype(np.int64), np.append(score[ok], np.ones(len(brief)))
+
+
+def _by_seeds(items: Items, words: Words, threshold: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     at, k = items.hits(words)
     n = items.first[k + 1] - items.first[k]
     rows, begin = np.unique(words.doc[at], return_index=True)
@@ -185,8 +204,7 @@ def _slices(benchmark: DataFrame) -> Iterator[Items]:
 def contaminated(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """``(doc_id, item_id, score)`` of every document row and item from the threshold on.
 
-    Null or empty texts on either side, items of fewer than five words and an empty benchmark give no rows; a
-    null doc_id or item_id is passed through; rows that repeat give rows that repeat.
+    Null or empty texts on either side, items without words and an empty benchmark give no rows; a null doc_id or item_id is passed through; rows that repeat give rows that repeat.
     """
     kind = "doc_id long, item_id long, score double"
     found = docs.sparkSession.createDataFrame([], kind)

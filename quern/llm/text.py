@@ -46,6 +46,19 @@ def tables() -> tuple[np.ndarray, np.ndarray]:
     return low, word
 
 
+#: First and last code points of scripts written without spaces: each of their letters is a word of its own.
+_UNSPACED = [(0x0E00, 0x0EFF), (0x1000, 0x109F), (0x1780, 0x17FF), (0x2E80, 0x31FF), (0x3400, 0x9FFF), (0xA9E0, 0xA9FF), (0xAA60, 0xAA7F), (0xF900, 0xFAFF), (0xFF66, 0xFF9F), (0x1B000, 0x1B16F), (0x20000, 0x323AF)]
+
+
+@lru_cache(maxsize=1)
+def unspaced() -> np.ndarray:
+    """Per code point: whether it belongs to a script without spaces."""
+    out = np.zeros(0x110000, dtype=bool)
+    for a, z in _UNSPACED:
+        out[a : z + 1] = True
+    return out
+
+
 def string_buffers(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """UTF-8 bytes and int64 offsets (one more than rows) of a string column, without copying the bytes."""
     if isinstance(col, pa.ChunkedArray):
@@ -79,7 +92,7 @@ def chunks(col: pa.Array, max_chars: int = CHUNK) -> Iterator[tuple[int, int, np
 
 
 class Words:
-    """The words of one chunk, in order.
+    """The words of one chunk, in order: runs of letters, digits and underscores; in scripts without spaces every letter.
 
     ``hash``: 64-bit hash of the lower-cased word. ``start``, ``end``: its code points. ``doc``: its row within
     the chunk. ``bounds``: for each row the first word and, last, the number of words.
@@ -99,6 +112,10 @@ class Words:
         new = np.empty(len(at), dtype=bool)
         new[0] = True
         np.not_equal(at[1:], at[:-1] + 1, out=new[1:])
+        if int(cp.max()) >= _UNSPACED[0][0]:
+            own = unspaced()[cp[at]]
+            new |= own
+            new[1:] |= own[:-1]
         first = np.searchsorted(at, off[:-1])  # a row boundary ends a word even without a separator
         new[first[first < len(at)]] = True
         first_at = np.flatnonzero(new)

@@ -1,5 +1,7 @@
 import itertools
+import math
 import random
+from collections import Counter
 
 import numpy as np
 
@@ -87,3 +89,62 @@ def test_untrained_model_still_follows_markers(spark):
     hmm = model(spark, [])
     lines = ["System: be brief", "User: hi", "there", "Assistant: yo"]
     assert C.turns_of(lines, hmm.viterbi(C.observed(lines), np.array([0, 4]))) == [("system", "be brief"), ("user", "hi\nthere"), ("assistant", "yo")]
+
+
+def plain(transcripts, labelled):
+    """The whole operator by dictionaries: counts, probabilities, paths and rendering."""
+    start, step, seen, n_seen, pooled = Counter(), Counter(), Counter(), Counter(), Counter()
+    for lines, states in labelled:
+        features = C.observed(lines)
+        if lines and states[0] >= 0:
+            start[states[0]] += 1
+        for a, b in zip(states, states[1:]):
+            step[a, b] += a >= 0 and b >= 0
+        for s, f in zip(states, features.tolist()):
+            for k, v in enumerate(f):
+                if s >= 0:
+                    seen[k, s, v] += 1
+                    n_seen[k, s] += 1
+                    pooled[k, v] += 1
+    states = range(C.STATES)
+    begins = [s for s in states if s % 2 == 0]
+
+    def log(x):
+        return math.log(x) if x > 0 else -math.inf
+
+    first = {s: log((start[s] + 1) / sum(start[x] + 1 for x in begins)) if s in begins else -math.inf for s in states}
+    allowed = {a: [b for b in states if b % 2 == 0 or b // 2 == a // 2] for a in states}
+    move = {(a, b): log((step[a, b] + 1) / sum(step[a, x] + 1 for x in allowed[a])) if b in allowed[a] else -math.inf for a in states for b in states}
+
+    def emit(s, f):
+        total = 0.0
+        for k, (name, values) in enumerate(C.FEATURES):
+            if k == 0:
+                weight = lambda v, s=s: seen[0, s, v] + 1 + (C.PRIOR if s % 2 == 0 and v == 1 + s // 2 else 0)
+                p = weight(f[0]) / sum(weight(v) for v in range(values))
+            else:
+                every = (pooled[k, f[k]] + 1) / (sum(pooled[k, v] for v in range(values)) + values)
+                p = (1 - C.POOLED[name]) * seen[k, s, f[k]] / n_seen[k, s] + C.POOLED[name] * every if n_seen[k, s] else every
+            total += log(p)
+        return total
+
+    out = {}
+    for conv, text in transcripts.items():
+        lines = text.split("\n")
+        features = C.observed(lines).tolist()
+        best = {s: (first[s] + emit(s, features[0]), (s,)) for s in states}
+        for f in features[1:]:
+            best = {b: max(((v + move[a, b], path) for a, (v, path) in best.items()), key=lambda x: x[0]) for b in states}
+            best = {b: (v + emit(b, f), (*path, b)) for b, (v, path) in best.items()}
+        out[conv] = {C.render(C.turns_of(lines, np.array(path))) for v, path in best.values() if v >= max(x for x, _ in best.values()) - 1e-9}
+    return out
+
+
+def test_query_equals_plain_python(spark):
+    sf = "/root/testdata/sf0.001"
+    turns = C.conversation_turns(spark.read.parquet(f"{sf}/conversations.parquet"))
+    labelled = [C.laid_out(r["style"], [(t["role"], t["text"]) for t in r["turns"]]) for r in turns.collect()]
+    transcripts = {r["conv_id"]: r["transcript"] for r in C.transcripts(turns).collect()}
+    want = plain(transcripts, labelled)
+    got = {r["conv_id"]: r["rendered"] for r in C.op8_chat_format(spark, sf).collect()}
+    assert got.keys() == want.keys() and all(got[c] in want[c] for c in want)

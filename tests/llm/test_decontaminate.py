@@ -6,6 +6,8 @@ import pyarrow as pa
 from quern.llm import decontaminate as D
 from quern.llm.text import Words, chunks
 
+SCHEMA = "doc_id long, text string"
+
 
 def words_of(text):
     (_, _, cp, off), = chunks(pa.array([text]))
@@ -126,3 +128,24 @@ def test_pieces_of_a_chunk_give_the_same_result(monkeypatch):
     once = [x.tolist() for x in D.aligned(it, Words(cp, off))]
     monkeypatch.setattr(D, "POSTINGS", 3)
     assert [x.tolist() for x in D.aligned(it, Words(cp, off))] == once and once[0]
+
+
+def test_short_items_and_scripts_without_spaces(spark):
+    chinese = "今天天气很好我们一起去公园散步看花然后回家吃饭休息吧"
+    items = [(1, chinese), (2, "who wrote this book"), (3, "Paris"), (4, "name the capital")]
+    docs = [
+        (1, f"前言{chinese}后记"),
+        (2, "他说" + chinese[:8] + "不" + chinese[9:] + "。"),
+        (3, chinese[:6] + "别的话完全没有关系"),
+        (4, "well, who wrote this book? nobody"),
+        (5, "who wrote this long book"),
+        (6, "Paris!"),
+        (7, "in Paris it rains"),
+        (8, "Now name the capital."),
+        (9, "name the river"),
+    ]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    df = spark.createDataFrame(docs, SCHEMA)
+    got = {(r["doc_id"], r["item_id"]) for r in D.contaminated(df, bench).collect()}
+    assert got == {(1, 1), (2, 1), (4, 2), (6, 3), (8, 4)}
+    assert {r["doc_id"] for r in D.without_contaminated(df, bench).collect()} == {3, 5, 7, 9}

@@ -3,6 +3,7 @@ import random
 from collections import Counter
 
 import duckdb
+import pytest
 
 from quern.llm import langid as L
 
@@ -67,3 +68,15 @@ def test_empty_table_and_no_languages(spark):
     assert L.identify(spark.createDataFrame([], SCHEMA)).count() == 0
     got = L.identify(spark.createDataFrame([(1, "abc", None), (2, "..", None)], SCHEMA)).collect()
     assert [(r["doc_id"], r["language"], r["keep"]) for r in sorted(got)] == [(1, None, True), (2, None, False)]
+
+
+def test_a_very_long_text_a_tie_and_too_many_languages(spark, monkeypatch):
+    long = "abc def " * 300_000
+    rows = [(1, long, "xx"), (2, long, "xx"), (3, "ghi jkl " * 20, "yy"), (4, "same", "a"), (5, "same", "b"), (6, "same", None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    got = {r["doc_id"]: r for r in L.identify(df).collect()}
+    assert got[1]["language"] == got[2]["language"] == "xx" and got[1]["keep"]
+    assert got[4]["language"] == got[5]["language"] == got[6]["language"] == "a"
+    monkeypatch.setattr(L, "LANGUAGES", 3)
+    with pytest.raises(ValueError):
+        L.identify(df)

@@ -86,3 +86,10 @@ def test_fitting_is_bounded_and_repeatable(spark):
     docs, labels = corpus(5, 60)
     a, b = (Q.train(spark.createDataFrame(docs, SCHEMA).repartition(n), spark.createDataFrame(labels, "doc_id long, quality int"), rows=30)[1] for n in (1, 3))
     assert len(a.held) == 6 and all(np.array_equal(x, y) for x, y in zip(a.w, b.w))
+
+
+def test_labels_of_other_documents_don_t_use_up_the_bound(spark):
+    docs, labels = corpus(7, 40)
+    more = labels + [(10_000 + i, i % 2) for i in range(4000)]
+    a, b = (Q.train(spark.createDataFrame(docs, SCHEMA), spark.createDataFrame(x, "doc_id long, quality int"), rows=30)[1] for x in (labels, more))
+    assert a is not None and b is not None and all(np.array_equal(x, y) for x, y in zip(a.w, b.w))
