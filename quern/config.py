@@ -52,6 +52,7 @@ class PipelineConfig:
     bloom_expected_pairs: int = 1_000_000
     bloom_false_positive_rate: float = 0.01
     min_cluster_size: int = 2
+    single_file: bool = False  # one output file instead of a directory of parts, for small outputs
 
     def __post_init__(self) -> None:
         for f in dataclasses.fields(self):

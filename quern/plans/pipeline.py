@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+import logging
 import time
 from collections.abc import Iterator
 from contextlib import contextmanager
 from typing import Any
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from quern.config import PipelineConfig
@@ -16,10 +17,12 @@ from quern.operators import clusters as C
 from quern.operators import lsh
 from quern.operators.minhash import MinHasher
 from quern.plans.checkpoint import StageStore, fingerprint
-from quern.sources.readers import read_documents
-from quern.sources.writers import dedup_rate, write_documents, write_stats
+from quern.sources.readers import ID, content_mark, read_documents
+from quern.sources.writers import alarm, dedup_rate, write_documents, write_stats
 from quern.storage import written
 
+_LOG = logging.getLogger(__name__)
+
 
 class DedupPipeline:
     """MinHash and LSH over a corpus. Survivors are written as they came; text is normalized only to be compared."""
@@ -29,6 +32,7 @@ class DedupPipeline:
         self.spark = spark or SparkSession.builder.getOrCreate()
         self.hasher = MinHasher(self.config.num_hash_functions, self.config.random_seed)
         self.runtime_per_stage: dict[str, float] = {}
+        self.figures: dict[str, int] = {}
 
     @contextmanager
     def _timed(self, stage: str) -> Iterator[None]:
@@ -87,9 +91,9 @@ class DedupPipeline:
         c = self.config
         with self._timed("write_deduplicated"):
             kept = docs.drop("norm_text").join(dropped.select("doc_idx"), "doc_idx", "left_anti")
-            names = {"id": c.id_field, "text": c.text_field}
-            kept = kept.select("doc_idx", *(F.col(f"`{x}`").alias(names.get(x, x)) for x in kept.columns if x != "doc_idx"))
-            write_documents(kept, dest, c.output_format)
+            names = {ID: c.id_field, "text": c.text_field}  # an id that the source hadn't isn't written
+            kept = kept.select("doc_idx", *(F.col(f"`{x}`").alias(names.get(x, x)) for x in sorted(kept.columns, key=lambda x: x != ID) if x not in ("doc_idx", "id")))
+            write_documents(kept, dest, c.output_format, single_file=c.single_file)
         before = docs.count() if before is None else before
         after = before - dropped.count()
         stats = {
@@ -97,9 +101,13 @@ class DedupPipeline:
             "output_count": after,
             "dedup_rate": dedup_rate(before, after),
             "cluster_size_histogram": {str(k): n for k, n in sorted((histogram or {}).items())},
+            "alarm": alarm(dedup_rate(before, after)) if before else None,
+            **self.figures,
             "runtime_per_stage": dict(self.runtime_per_stage),
             "config": c.to_dict(),
         }
+        if stats["alarm"]:
+            _LOG.warning("%s: %s", dest, stats["alarm"])
         write_stats(docs, dest, stats)
         return stats
 
@@ -119,21 +127,34 @@ class DedupPipeline:
         return written(self.cluster_duplicates(self.duplicate_edges(signatures)), "clusters"), signatures.count()
 
     def run(self, source: Any, dest: str, resume: bool = False) -> dict[str, Any]:
-        """Deduplicate ``source`` into ``dest``; with a checkpoint_dir every stage is stored, with ``resume`` stored stages of the same source and settings are taken up."""
-        self.runtime_per_stage = {}
-        told = source if isinstance(source, str) else f"<{type(source).__name__}>"
-        settings = {k: v for k, v in self.config.to_dict().items() if k not in ("checkpoint_dir", "batch_size", "use_numba", "output_format")}
-        store = StageStore(self.spark, self.config.checkpoint_dir, fingerprint(told, settings))
+        """Deduplicate ``source`` into ``dest``; with a checkpoint_dir every stage is stored, with ``resume`` stored stages are taken up. A stage of other settings or of a source with another content raises CheckpointError.
+
+        The figures of a run that made these stages itself include the total of shingles and the documents cut by
+        character for being CJK.
+        """
+        self.runtime_per_stage, self.figures = {}, {}
+        c = self.config
+        settings = {k: v for k, v in c.to_dict().items() if k not in ("checkpoint_dir", "batch_size", "use_numba", "output_format", "single_file")}
+        told = content_mark(self.spark, source) if c.checkpoint_dir else ""
+        store = StageStore(self.spark, c.checkpoint_dir, fingerprint(told, settings))
+        made = set()
 
         def stage(name: str, make) -> DataFrame:
             with self._timed(name):
                 if resume and store.has(name):
                     return store.load(name)
+                made.add(name)
                 df = make()
                 return store.save(name, df) if store.enabled else written(df, name)
 
-        docs = stage("documents", lambda: self.normalize_batch(self.stream_documents(source)))
-        signatures = stage("signatures", lambda: self.compute_signatures(self.shingle_batch(docs)))
+        cjk, shingles = Observation(), Observation()
+        by_character = T.is_cjk(F.col("norm_text"), c.cjk_ratio_threshold) if c.shingle_mode == "word" else F.lit(False)
+        docs = stage("documents", lambda: self.normalize_batch(self.stream_documents(source)).observe(cjk, F.count_if(by_character).alias("cjk_documents")))
+        signatures = stage("signatures", lambda: self.compute_signatures(self.shingle_batch(docs).observe(shingles, F.coalesce(F.sum(F.size("shingles")), F.lit(0)).alias("total_shingles"))))
+        if "documents" in made:
+            self.figures["cjk_documents"] = cjk.get["cjk_documents"]
+        if "signatures" in made:
+            self.figures["total_shingles"] = shingles.get["total_shingles"]
         edges = stage("candidate_pairs", lambda: self.duplicate_edges(signatures))
         clusters = stage("clusters", lambda: self.cluster_duplicates(edges))
         dropped = stage("dropped", lambda: C.dropped_ids(clusters, self.select_representatives(clusters, docs)))

@@ -43,13 +43,14 @@ def observed(df: DataFrame, what: str, done: Iterable[DataFrame] = (), **figures
 
 
 def dropped(df: DataFrame) -> None:
-    """Remove the files of a table made by :func:`written` that nothing reads any more."""
+    """Remove the files of a table made by :func:`written` that nothing reads any more; other tables stay."""
     spark = df.sparkSession
-    jvm = spark.sparkContext._jvm
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    own = path(shared_folder(spark)).toUri().getPath()
     for name in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-        path = jvm.org.apache.hadoop.fs.Path(name)
-        if "/quern-" in name:
-            path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+        folder = path(name)
+        if folder.getName().startswith("quern-") and folder.getParent().toUri().getPath() == own:
+            folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:

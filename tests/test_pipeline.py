@@ -70,7 +70,7 @@ def test_json_lines_skip_what_isn_t_a_document(spark, tmp_path):
         f.write("\n".join(lines))
     for path in (plain, packed):
         df = read_documents(spark, str(path))
-        assert df.columns[:3] == ["doc_idx", "id", "text"] and set(df.columns[3:]) == {"lang", "n"}
+        assert df.columns[:3] == ["doc_idx", "id", "text"] and set(df.columns[3:]) == {"lang", "n", "__record", "__id"}
         assert [(r["doc_idx"], r["id"], r["text"], r["n"]) for r in df.orderBy("doc_idx").collect()] == [(0, "a", "one", 1), (1, "1", "two", 2), (2, "2", "", None)]
 
 
@@ -78,7 +78,7 @@ def test_other_sources(spark, tmp_path):
     df = spark.createDataFrame([("k1", "b", 1), ("k0", "a", 2)], "key string, body string, text int")
     df.write.parquet(str(tmp_path / "p.parquet"))
     got = read_documents(spark, str(tmp_path / "p.parquet"), "body", "key")
-    assert got.columns == ["doc_idx", "id", "text"] and got.count() == 2
+    assert got.columns == ["doc_idx", "id", "text", "__id"] and got.count() == 2
     assert [r["id"] for r in read_documents(spark, df, "body", "key").orderBy("doc_idx").collect()] == ["k0", "k1"]
     for i in (2, 10, 1):
         (tmp_path / f"g{i}.jsonl").write_text(json.dumps({"id": i, "text": f"t{i}"}))
@@ -118,6 +118,37 @@ def test_exact_copies_go_and_survivors_are_verbatim(spark, tmp_path):
     assert written["cluster_size_histogram"] == stats["cluster_size_histogram"] and all(isinstance(k, str) for k in written["cluster_size_histogram"])
 
 
+def test_every_record_is_written_as_it_came(spark, tmp_path):
+    data = [
+        {"id": 1, "text": "first of all documents here", "meta": {"a": [1, 2], "b": None}},
+        {"id": "b", "text": "second, quite another text", "n": 1},
+        {"text": "third: no id at all", "x.y": "dotted", "n": 2.5, "flag": True, "empty": None},
+        {"id": None, "text": "fourth: über 日本", "n": "one"},
+    ]
+    lines = [json.dumps(r, ensure_ascii=False) for r in data]
+    (tmp_path / "in.jsonl").write_text("\n".join(lines))
+    for source in (data, str(tmp_path / "in.jsonl")):
+        for single in (False, True):
+            out = tmp_path / f"out{single}.jsonl"
+            stats = DedupPipeline(PipelineConfig(single_file=single, **WORDS), spark).run(source, str(out))
+            assert stats["output_count"] == 4 and stats["cjk_documents"] == 0 and stats["total_shingles"] > 4
+            assert (out.read_text().splitlines() if single else [json.dumps(r, ensure_ascii=False) for r in rows_of(out)]) == lines
+    rows = [(7, "first of all documents here", None, [1, 2]), (None, "second, quite another text", 2.5, None)]
+    df = spark.createDataFrame(rows, "id int, text string, `n.x` double, tags array<int>")
+    df.write.parquet(str(tmp_path / "in.parquet"))
+    for source in (df, str(tmp_path / "in.parquet")):
+        for kind in ("parquet", "jsonl"):
+            out = str(tmp_path / f"o.{kind}")
+            DedupPipeline(PipelineConfig(output_format=kind, **WORDS), spark).run(source, out)
+            if kind == "parquet":
+                got = spark.read.parquet(out)
+                assert got.schema == df.schema and sorted(map(tuple, got.collect()), key=lambda r: r[1]) == rows
+            else:
+                assert sorted(rows_of(out), key=lambda r: r["text"]) == [dict(zip(df.columns, r)) for r in rows]
+    docs = [quern.Document.from_row(r) for r in read_documents(spark, data).orderBy("doc_idx").collect()]
+    assert [(d.id, d.metadata) for d in docs] == [("1", data[0]), ("b", data[1]), ("2", data[2]), ("3", data[3])]
+
+
 @pytest.mark.parametrize("texts, left", [([f"text number {i} " + "abc " * i for i in range(5)], None), (["same text here"] * 30, 1), (["", " ", "!"], 1), ([], 0)])
 def test_extremes(spark, tmp_path, texts, left):
     c = PipelineConfig(shingle_mode="word", shingle_size=2, output_format="parquet")
@@ -164,6 +195,19 @@ def test_resume_takes_up_stored_stages(spark, tmp_path):
         DedupPipeline(c.replace(shingle_size=4), spark).run(str(source), str(tmp_path / "d.jsonl"), resume=True)
 
 
+def test_resume_refuses_another_content(spark, tmp_path):
+    a, b = ([{"id": str(i), "text": f"{x} text number {i} of a list"} for i in range(5)] for x in "ab")
+    c = PipelineConfig(checkpoint_dir=str(tmp_path / "c"), **WORDS)
+    frame = lambda rows: spark.createDataFrame([(r["id"], r["text"]) for r in rows], "id string, text string")
+    path = tmp_path / "in.jsonl"
+    for kind in (list, frame, lambda rows: (path.write_text("\n".join(map(json.dumps, rows)) + "\n" * (rows is b)), str(path))[1]):
+        DedupPipeline(c, spark).run(kind(a), str(tmp_path / "o.jsonl"))
+        again = DedupPipeline(c, spark).run(kind(a) if kind in (list, frame) else str(path), str(tmp_path / "o.jsonl"), resume=True)
+        assert again["input_count"] == 5
+        with pytest.raises(CheckpointError):
+            DedupPipeline(c, spark).run(kind(b), str(tmp_path / "o.jsonl"), resume=True)
+
+
 def test_store(spark, tmp_path):
     s = StageStore(spark, str(tmp_path / "s"), fingerprint("a", 1))
     assert s.list() == [] and not s.has("x") and not s.delete("x")
