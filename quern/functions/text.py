@@ -21,6 +21,7 @@ WHITE = r"[\x09-\x0d\x1c-\x20\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f
 CJK = r"[\u3040-\u30ff\u3400-\u4dbf\u4e00-\u9fff\uac00-\ud7af\uf900-\ufaff]"
 WORD = r"[\p{L}\p{N}_]+"
 SEPARATOR = "\x1f"
+_SPELT = 32  # length up to which n-grams are joined element by element
 SPARK_SEED = 42  # the one that xxhash64 of Spark has
 
 
@@ -118,7 +119,10 @@ def ngrams(toks: Column, k: int) -> Column:
 
     def of(t: Column) -> Column:
         n = F.size(t)
-        many = F.transform(F.sequence(F.lit(1), F.greatest(n - (k - 1), F.lit(1))), lambda i: F.array_join(F.slice(t, i, k), SEPARATOR))
+        if k <= _SPELT:  # no array is made for each n-gram
+            many = F.transform(F.sequence(F.lit(0), F.greatest(n - k, F.lit(0))), lambda i: F.concat_ws(SEPARATOR, *(F.get(t, i + j) for j in range(k))))
+        else:
+            many = F.transform(F.sequence(F.lit(1), F.greatest(n - (k - 1), F.lit(1))), lambda i: F.array_join(F.slice(t, i, k), SEPARATOR))
         return F.when(n >= k, many).when(n > 0, F.array(F.array_join(t, SEPARATOR))).otherwise(F.array().cast("array<string>"))
 
     # the tokens are bound to a variable: named in the inner function they would be made anew for every n-gram

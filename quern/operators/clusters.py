@@ -26,6 +26,16 @@ def size_histogram(clusters: DataFrame) -> DataFrame:
     return clusters.groupBy("cluster_id").agg(F.count("*").alias("size")).groupBy("size").agg(F.count("*").alias("n_clusters"))
 
 
+def giant_clusters(clusters: DataFrame, most: int) -> DataFrame:
+    """``(cluster_id, size)`` of the clusters of more than ``most`` members: chains and boilerplate to look at before they count."""
+    return clusters.groupBy("cluster_id").agg(F.count("*").alias("size")).where(F.col("size") > most)
+
+
+def without_giants(clusters: DataFrame, most: int) -> DataFrame:
+    """The clusters of at most ``most`` members. The others' documents count as unique then and all stay."""
+    return clusters.join(giant_clusters(clusters, most).select("cluster_id"), "cluster_id", "left_anti")
+
+
 def representatives(clusters: DataFrame, lengths: DataFrame | None = None, strategy: str = "longest", seed: int = 42) -> DataFrame:
     """``(cluster_id, doc_idx)``, the one to keep of each cluster: the first, the longest (``lengths`` has doc_idx and length; ties to the first), or one drawn by a hash of seed and index."""
     if strategy == "first":
@@ -51,7 +61,7 @@ def survivors(docs: DataFrame, clusters: DataFrame, chosen: DataFrame) -> DataFr
 
 
 def pairs_within(clusters: DataFrame) -> DataFrame:
-    """``(i, j)``, i < j: all pairs of members of a cluster."""
+    """``(i, j)``, i < j: all pairs of members of a cluster, quadratic in its size. To count them against true pairs :func:`quern.operators.evaluate.cluster_confusion` needs no list."""
     a, b = clusters.alias("a"), clusters.alias("b")
     return a.join(b, (F.col("a.cluster_id") == F.col("b.cluster_id")) & (F.col("a.doc_idx") < F.col("b.doc_idx"))).select(F.col("a.doc_idx").alias("i"), F.col("b.doc_idx").alias("j"))
 

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Iterable, Iterator
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quern.errors import ConfigError
@@ -31,6 +33,45 @@ def candidate_pairs(keys: DataFrame) -> DataFrame:
     return left.join(right, same).select(F.col("l.doc_idx").alias("i"), F.col("r.doc_idx").alias("j")).distinct()
 
 
+def encode_pair(i: Column | int, j: Column | int) -> Column | int:
+    """One 64-bit key of a pair of indices from 0 to 2^32 - 1 (as two's complement in a column)."""
+    if isinstance(i, Column) or isinstance(j, Column):
+        i, j = (x if isinstance(x, Column) else F.lit(x) for x in (i, j))
+        return F.shiftleft(i.cast("long"), 32).bitwiseOR(j.cast("long"))
+    return i << 32 | j
+
+
+class BucketIndex:
+    """Buckets of document indices on the driver, for what fits there; :func:`buckets` does the same for a table of keys."""
+
+    def __init__(self) -> None:
+        self._members: dict[int, list[int]] = {}
+
+    @classmethod
+    def from_keys(cls, keys: DataFrame) -> BucketIndex:
+        """The buckets of two or more of a small table of keys, by ``(band, key)``."""
+        out = cls()
+        for row in buckets(keys).toLocalIterator():
+            out.add_bucket((row["band"], row["key"]), row["members"])
+        return out
+
+    def add(self, bucket_key: int, doc_index: int) -> None:
+        self._members.setdefault(bucket_key, []).append(doc_index)
+
+    def add_bucket(self, bucket_key: int, doc_indices: Iterable[int]) -> None:
+        self._members.setdefault(bucket_key, []).extend(doc_indices)
+
+    def candidate_buckets(self) -> Iterator[list[int]]:
+        """The members of every bucket that holds two or more."""
+        return (m for m in self._members.values() if len(m) > 1)
+
+    def as_dict(self) -> dict[int, list[int]]:
+        return self._members
+
+    def __len__(self) -> int:
+        return len(self._members)
+
+
 def cross_pairs(left: DataFrame, right: DataFrame) -> DataFrame:
     """``(i, j)``: documents of two corpora that share a bucket."""
     return left.select(F.col("doc_idx").alias("i"), "band", "key").join(right.select(F.col("doc_idx").alias("j"), "band", "key"), ["band", "key"]).select("i", "j").distinct()

@@ -16,11 +16,16 @@ from quern.functions.hashing import EMPTY, PRIME, BandingScheme, bloom_sizing, c
 from quern.operators import clusters as C
 from quern.operators import evaluate as E
 from quern.operators import lsh
+from quern.operators import passages as P
 from quern.operators import similarity as S
 from quern.operators.minhash import MinHasher
+from quern.operators.simhash64 import hamming_pairs, simhash64
 from quern.plans.pipeline import DedupPipeline
+from quern.sources.readers import ID, read_documents
+from quern.sources.writers import stats_path
+from quern.storage import shared_path, written
 from quern.storage import table as stored
-from quern.storage import written
+from quern.streaming.incremental import deduplicate_stream
 
 K, FUNCTIONS, BANDS, ROWS, THRESHOLD = 3, 16, 4, 4, 0.7
 STOPWORDS = ["the", "of", "and", "de", "la", "le", "der", "die", "und", "el", "que", "en"]
@@ -276,13 +281,170 @@ def dedup_default_config(spark: SparkSession, sf: str) -> DataFrame:
     return raw.join(gone, raw["doc_id"] == gone["doc_idx"], "left_anti")
 
 
-@_query(f"""WITH {_signatures()}, {_keys()}, {_signatures(name="b_", table="benchmark", key="item_id")}, {_keys("b_")}
-SELECT doc_id, text, lang, source, n_chars FROM documents WHERE doc_id NOT IN (SELECT k.d FROM keys k JOIN b_keys b ON k.band = b.band AND k.key = b.key)""")
+_LENGTH = 8  # words of an n-gram that is evidence of a benchmark
+
+
+def _long_grams(source: str, key: str, name: str) -> str:
+    words = f"regexp_extract_all({_norm()}, '{_WORD}')"
+    return f"{name} AS (SELECT k, unnest(list_distinct(g)) AS g, len(list_distinct(g)) AS n FROM (SELECT {key} AS k, {_grams('w', _LENGTH)} AS g FROM (SELECT {key}, {words} AS w FROM {source})))"
+
+
+_SHARED = f"WITH {_long_grams('documents', 'doc_id', 'd')}, {_long_grams('benchmark', 'item_id', 'b')}"
+
+
+def _shared(spark: SparkSession, sf: str) -> DataFrame:
+    grams = lambda: T.ngrams(T.word_tokens(F.col("norm_text")), _LENGTH)
+    docs, items = _documents(spark, sf), _documents(spark, sf, "benchmark", "item_id")
+    return P.shared_ngrams(docs.withColumnRenamed("doc_idx", "doc_id"), grams(), items.withColumnRenamed("doc_idx", "item_id"), grams())
+
+
+@_query(f"{_SHARED} SELECT d.k AS doc_id, b.k AS item_id, count(*) AS shared, count(*) / any_value(b.n) AS part FROM d JOIN b USING (g) GROUP BY ALL")
+def benchmark_contamination(spark: SparkSession, sf: str) -> DataFrame:
+    """Documents that share 8-grams of words with benchmark items (a shorter item is one n-gram)."""
+    return _shared(spark, sf)
+
+
+@_query(f"{_SHARED} SELECT doc_id, text, lang, source, n_chars FROM documents WHERE doc_id NOT IN (SELECT d.k FROM d JOIN b USING (g))")
 def train_minus_benchmark(spark: SparkSession, sf: str) -> DataFrame:
-    """Documents that share no bucket with a benchmark item as a whole."""
-    items = lsh.band_keys(_portable_signatures(_documents(spark, sf, "benchmark", "item_id")), BANDS, ROWS)
-    hits = lsh.cross_pairs(_portable_keys(spark, sf), items).select(F.col("i").alias("doc_id"))
-    return _read(spark, sf, "documents").join(hits, "doc_id", "left_anti")
+    """Documents that share no passage of eight words with a benchmark item."""
+    return _read(spark, sf, "documents").join(_shared(spark, sf).select("doc_id"), "doc_id", "left_anti")
+
+
+@_query(f"""WITH {_docs()}, w AS (SELECT d, regexp_extract_all(t, '{_WORD}') AS w FROM docs), r AS (SELECT d, unnest(range(len(w) - 49)) AS p, w FROM w WHERE len(w) >= 50),
+g AS (SELECT d, p, md5(array_to_string(w[p + 1:p + 50], chr(31))) AS g FROM r), f AS (SELECT d, p FROM g WHERE g IN (SELECT g FROM g GROUP BY g HAVING count(*) > 1)),
+b AS (SELECT d, p, CASE WHEN p - lag(p) OVER o <= 49 THEN 0 ELSE 1 END AS begins FROM f WINDOW o AS (PARTITION BY d ORDER BY p)), s AS (SELECT d, p, sum(begins) OVER (PARTITION BY d ORDER BY p) AS stretch FROM b)
+SELECT d AS doc_id, min(p) AS start, max(p) - min(p) + 50 AS n_words FROM s GROUP BY d, stretch""")
+def repeated_passages(spark: SparkSession, sf: str) -> DataFrame:
+    """Stretches of 50 words or more that stand elsewhere too."""
+    docs = _documents(spark, sf).select(F.col("doc_idx").alias("doc_id"), "norm_text")
+    return P.repeated_passages(docs, T.word_tokens(F.col("norm_text")), 50)
+
+
+_PRINTS = f"""{_docs()}, tok AS (SELECT d, unnest(regexp_extract_all(t, '{_WORD}')) AS w FROM docs), h AS (SELECT d, ('0x' || substr(md5(w), 17, 16))::UBIGINT AS h FROM tok),
+sums AS (SELECT d, {", ".join(f"2 * count_if((h >> {i}) & 1 = 1) > count(*) AS b{i}" for i in range(64))} FROM h GROUP BY d),
+prints AS (SELECT d, {" + ".join(f"CASE WHEN b{i} THEN {1 << i}::UHUGEINT ELSE 0 END" for i in range(64))} AS f FROM sums)"""
+
+
+def _fingerprints(spark: SparkSession, sf: str) -> DataFrame:
+    return _documents(spark, sf).select(F.col("doc_idx").alias("doc_id"), simhash64(T.word_tokens(F.col("norm_text"))).alias("fingerprint"))
+
+
+@_query(f"WITH {_PRINTS} SELECT docs.d AS doc_id, coalesce(prints.f, 0)::VARCHAR AS fingerprint FROM docs LEFT JOIN prints USING (d)")
+def simhash_fingerprints(spark: SparkSession, sf: str) -> DataFrame:
+    return _fingerprints(spark, sf).select("doc_id", F.conv(F.hex("fingerprint"), 16, 10).alias("fingerprint"))
+
+
+@_query(f"WITH {_PRINTS}, c AS (SELECT min(d) AS d, f::UBIGINT AS f FROM prints GROUP BY f) SELECT a.d AS i, b.d AS j, bit_count(xor(a.f, b.f)::UBIGINT::BIT)::BIGINT AS distance FROM c a JOIN c b ON a.d < b.d WHERE distance <= 3")
+def simhash_pairs(spark: SparkSession, sf: str) -> DataFrame:
+    """Pairs of distinct 64-bit fingerprints at most 3 bits apart, each named by its least document."""
+    return hamming_pairs(written(_fingerprints(spark, sf), "fingerprints"), 3)
+
+
+@_query(f"WITH {_sets()}, {_TRUTH}, c AS (SELECT list_sort(s) AS s, min(d) AS d FROM sets WHERE len(s) > 0 GROUP BY 1) SELECT i, j, jaccard FROM truth WHERE i IN (SELECT d FROM c) AND j IN (SELECT d FROM c) AND jaccard < 1")
+def exact_jaccard_representatives(spark: SparkSession, sf: str) -> DataFrame:
+    """Pairs of distinct shingle sets, each named by the least document that has it."""
+    return S.exact_jaccard_classes(_portable_sets(_documents(spark, sf)), THRESHOLD, "doc_idx")[0]
+
+
+@_query(f"WITH RECURSIVE {_CLUSTERS} SELECT c AS cluster_id, count(*) AS size FROM clusters GROUP BY c HAVING count(*) > 5")
+def giant_clusters(spark: SparkSession, sf: str) -> DataFrame:
+    return C.giant_clusters(_portable_clusters(spark, sf), 5)
+
+
+# --- sources, sinks and whole runs ----------------------------------------------------------------------------
+_ALL = "SELECT doc_id, text, lang, source, n_chars FROM documents"
+
+
+def _as_documents(spark: SparkSession, path: str, key: str = "doc_id") -> DataFrame:
+    found = read_documents(spark, path, "text", key)
+    return found.select(F.col(ID).alias("doc_id"), "text", "lang", "source", "n_chars")
+
+
+def _stored(spark: SparkSession, sf: str, kind: str) -> str:
+    folder = shared_path(spark, "source")
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    if kind == "parquet":
+        docs.write.parquet(f"{folder}/documents.parquet")
+    else:
+        docs.write.option("compression", "gzip" if kind == "jsonl.gz" else "none").json(f"{folder}/documents.{kind}")
+    return f"{folder}/documents.{kind}"
+
+
+@_query(_ALL)
+def source_jsonl(spark: SparkSession, sf: str) -> DataFrame:
+    return _as_documents(spark, _stored(spark, sf, "jsonl"))
+
+
+@_query(_ALL)
+def source_jsonl_gzip(spark: SparkSession, sf: str) -> DataFrame:
+    return _as_documents(spark, _stored(spark, sf, "jsonl.gz"))
+
+
+@_query(_ALL)
+def source_parquet(spark: SparkSession, sf: str) -> DataFrame:
+    return _as_documents(spark, _stored(spark, sf, "parquet"))
+
+
+@_query("SELECT row_number() OVER (ORDER BY doc_id) - 1 AS doc_idx, doc_id::VARCHAR AS id, text FROM documents WHERE text IS NOT NULL")
+def source_index(spark: SparkSession, sf: str) -> DataFrame:
+    """Documents of a DataFrame with their dense index."""
+    return read_documents(spark, spark.read.parquet(f"{sf}/documents.parquet"), "text", "doc_id").select("doc_idx", "id", "text")
+
+
+@_query("SELECT item_id, text FROM benchmark")
+def source_list(spark: SparkSession, sf: str) -> DataFrame:
+    records = [r.asDict() for r in spark.read.parquet(f"{sf}/benchmark.parquet").collect()]  # a small table, as a user's list would be
+    return read_documents(spark, records, "text", "item_id").select(F.col(ID).alias("item_id"), "text")
+
+
+#: One shingle holds all the words of a text, so that a run removes exact copies alone and SQL can tell its result.
+_EXACT = dict(shingle_mode="word", shingle_size=1_000_000, cjk_ratio_threshold=1.0, id_field="doc_id", representative_strategy="first")
+_ONCE = f"SELECT doc_id, text, lang, source, n_chars FROM documents QUALIFY row_number() OVER (PARTITION BY regexp_extract_all({_norm()}, '{_WORD}') ORDER BY doc_id) = 1"
+
+
+def _ran(spark: SparkSession, sf: str, output_format: str, resume: bool = False) -> DataFrame:
+    out = f"{shared_path(spark, 'run')}.{output_format}"
+    c = PipelineConfig(output_format=output_format, checkpoint_dir=f"{out}.stages" if resume else None, **_EXACT)
+    for again in (False, True)[: 1 + resume]:
+        DedupPipeline(c, spark).run(f"{sf}/documents.parquet", out, resume=again)
+    schema = spark.read.parquet(f"{sf}/documents.parquet").schema
+    return spark.read.schema(schema).format("json" if output_format == "jsonl" else "parquet").load(out)
+
+
+@_query(_ONCE)
+def run_to_jsonl(spark: SparkSession, sf: str) -> DataFrame:
+    return _ran(spark, sf, "jsonl")
+
+
+@_query(_ONCE)
+def run_to_parquet(spark: SparkSession, sf: str) -> DataFrame:
+    return _ran(spark, sf, "parquet")
+
+
+@_query(_ONCE)
+def run_resumed(spark: SparkSession, sf: str) -> DataFrame:
+    """A second run takes up the stored stages of the first."""
+    return _ran(spark, sf, "parquet", resume=True)
+
+
+@_query(f"WITH kept AS ({_ONCE}) SELECT n AS input_count, m AS output_count, (n - m) / n AS dedup_rate FROM (SELECT count(*) AS n FROM documents), (SELECT count(*) AS m FROM kept)")
+def run_figures(spark: SparkSession, sf: str) -> DataFrame:
+    """The figures that a run writes beside its output."""
+    out = f"{shared_path(spark, 'run')}.parquet"
+    DedupPipeline(PipelineConfig(output_format="parquet", **_EXACT), spark).run(f"{sf}/documents.parquet", out)
+    return spark.read.option("multiLine", True).schema("input_count long, output_count long, dedup_rate double").json(stats_path(out))
+
+
+@_query("SELECT DISTINCT text FROM documents")
+def stream_deduplicated(spark: SparkSession, sf: str) -> DataFrame:
+    """A stream of the documents in two batches or more, without repetitions."""
+    folder = shared_path(spark, "stream")
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    schema = docs.schema
+    docs.repartition(2, "doc_id").write.parquet(f"{folder}/in")
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(f"{folder}/in")
+    deduplicate_stream(stream, f"{folder}/out", f"{folder}/state", f"{folder}/checkpoint", PipelineConfig(**_EXACT)).awaitTermination()
+    return spark.read.schema(schema).parquet(f"{folder}/out").select("text")
 
 
 # --- evaluation -----------------------------------------------------------------------------------------------
@@ -291,10 +453,12 @@ n AS (SELECT count_if(w.i IS NOT NULL AND t.i IS NOT NULL) AS tp, count_if(t.i I
 SELECT tp, fp, fn, CASE WHEN tp + fp > 0 THEN tp / (tp + fp) ELSE 1 END AS precision, CASE WHEN tp + fn > 0 THEN tp / (tp + fn) ELSE 1 END AS recall, CASE WHEN precision + recall > 0 THEN 2 * precision * recall / (precision + recall) ELSE 0 END AS f1 FROM n""")
 def pair_confusion(spark: SparkSession, sf: str) -> DataFrame:
     truth = S.exact_jaccard_pairs(written(_portable_sets(_documents(spark, sf)), "sets"), THRESHOLD, "doc_idx").select("i", "j")
-    return E.confusion(C.pairs_within(_portable_clusters(spark, sf)), truth)
+    return E.cluster_confusion(_portable_clusters(spark, sf), truth)
 
 
-@_query()
+@_query(f"""WITH RECURSIVE {_CLUSTERS}, {_TRUTH}, within AS (SELECT a.d AS i, b.d AS j, least(n, 10) AS size FROM clusters a JOIN clusters b ON a.c = b.c AND a.d < b.d JOIN (SELECT c, count(*) AS n FROM clusters GROUP BY c) s ON s.c = a.c),
+n AS (SELECT coalesce(size, 0) AS size, count_if(w.i IS NOT NULL AND t.i IS NOT NULL) AS tp, count_if(t.i IS NULL) AS fp, count_if(w.i IS NULL) AS fn FROM within w FULL JOIN truth t ON w.i = t.i AND w.j = t.j GROUP BY ALL)
+SELECT size, tp, fp, fn, CASE WHEN tp + fp > 0 THEN tp / (tp + fp) ELSE 1 END AS precision, CASE WHEN tp + fn > 0 THEN tp / (tp + fn) ELSE 1 END AS recall, CASE WHEN precision + recall > 0 THEN 2 * precision * recall / (precision + recall) ELSE 0 END AS f1 FROM n""")
 def metrics_by_cluster_size(spark: SparkSession, sf: str) -> DataFrame:
     truth = S.exact_jaccard_pairs(written(_portable_sets(_documents(spark, sf)), "sets"), THRESHOLD, "doc_idx").select("i", "j")
     return E.metrics_by_cluster_size(_portable_clusters(spark, sf), truth)
@@ -307,7 +471,7 @@ def near_duplicate_injection(spark: SparkSession, sf: str) -> DataFrame:
     more, truth = E.inject_near_duplicates(docs, min(50, docs.count()), 0.95)
     p = DedupPipeline(PipelineConfig(shingle_mode="word", shingle_size=K), spark)
     signatures = written(p.compute_signatures(p.shingle_batch(p.normalize_batch(more))), "signatures")
-    return E.confusion(C.pairs_within(p.cluster_duplicates(p.duplicate_edges(signatures))), truth)
+    return E.cluster_confusion(p.cluster_duplicates(p.duplicate_edges(signatures)), truth)
 
 
 @_query("""WITH k AS (SELECT quality::VARCHAR AS a, (1 - toxic)::VARCHAR AS b FROM labels WHERE quality IS NOT NULL AND toxic IS NOT NULL), m AS (SELECT count(*) AS n, count_if(a = b) / count(*) AS agreement FROM k),
@@ -351,18 +515,20 @@ def bloom_sizes(spark: SparkSession, sf: str) -> DataFrame:
     return spark.createDataFrame([(n, p, *bloom_sizing(n, p)) for n in (1, 1000, 1_000_000) for p in (0.1, 0.01, 0.001)], "expected long, rate double, bits long, hashes long")
 
 
-@_query()
+@_query("""WITH v AS (SELECT vec_id AS d, list_transform(embedding, lambda x: x::DOUBLE) AS e FROM embeddings), u AS (SELECT d, list_transform(e, lambda x: x / sqrt(list_sum(list_transform(e, lambda y: y * y)))) AS e FROM v)
+SELECT a.d AS i, b.d AS j, round(list_sum(list_transform(list_zip(a.e, b.e), lambda p: p[1] * p[2])), 6) AS cosine FROM u a JOIN u b ON a.d < b.d WHERE cosine >= 0.4""")
 def cosine_neighbours(spark: SparkSession, sf: str) -> DataFrame:
-    return S.cosine_pairs(_read(spark, sf, "embeddings"), 0.8)
+    """All pairs of cosine 0.4 or more; planned to miss one in a million."""
+    return S.cosine_pairs(_read(spark, sf, "embeddings"), 0.4, recall=0.999999)
 
 
-@_query()
+@_query("SELECT doc_id, lang FROM documents QUALIFY row_number() OVER (PARTITION BY lang ORDER BY md5('0/' || doc_id), doc_id) <= 5")
 def stratified_documents(spark: SparkSession, sf: str) -> DataFrame:
     """Five documents of every language, for annotation."""
     return E.stratified_sample(_read(spark, sf, "documents").select("doc_id", "lang"), "lang", 5, "doc_id")
 
 
-@_query()
+@_query(f"WITH {_PAIRS}, sample AS (SELECT i, j FROM pairs ORDER BY md5('0/' || i || '/' || j), i, j LIMIT 100) SELECT i, j, len(list_intersect(a.s, b.s)) / len(list_distinct(list_concat(a.s, b.s))) >= {THRESHOLD} AS true_pair FROM sample JOIN sets a ON a.d = i JOIN sets b ON b.d = j")
 def sampled_pair_precision(spark: SparkSession, sf: str) -> DataFrame:
     """A hundred predicted pairs with the exact similarity that judges them."""
     sets = written(_portable_sets(_documents(spark, sf)), "sets")
