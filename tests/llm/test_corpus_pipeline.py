@@ -64,7 +64,7 @@ def test_each_stage_acts_on_what_the_one_before_kept(spark, folder, tmp_path):
         elif name == "language":
             want = {r["doc_id"] for r in langid.identify(docs).collect() if r["keep"]}
         elif name == "near_dedup":
-            want = {r["group_id"] for r in simhash.near_duplicate_groups(docs).collect()}
+            want = {r["class_id"] for r in simhash.near_duplicate_classes(docs).collect()}
         elif name == "decontaminate":
             want = ids(docs) - ids(decontaminate.contaminated(docs, bench))
         else:
