@@ -7,6 +7,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from quern.operators import clusters as C
+from quern.operators import evaluate as E
 from quern.operators import lsh
 from quern.operators import similarity as S
 from quern.operators.components import connected_components
@@ -132,3 +133,53 @@ def test_signature_of_empty_documents_is_one_cluster(spark):
     df = spark.createDataFrame([(0, []), (1, []), (2, [5])], "doc_idx long, shingles array<long>")
     sig = MinHasher(8).signatures(df)
     assert {tuple(r) for r in lsh.candidate_pairs(lsh.band_keys(sig, 4, 2)).collect()} == {(0, 1)}
+
+
+def test_components_in_one_task_equal_those_in_rounds(spark):
+    rng = random.Random(11)
+    edges = [(rng.randrange(400), rng.randrange(400)) for _ in range(260)] + [(1000 + i, 1001 + i) for i in range(40)] + [(None, 3), (5, 5)]
+    df = spark.createDataFrame(edges, "i long, j long")
+    once, rounds = (sorted(map(tuple, connected_components(df, one_task=n).collect())) for n in (10**6, 0))
+    assert once == rounds and once
+    assert connected_components(df.limit(0)).count() == 0
+
+
+def test_counts_without_pair_lists_equal_those_of_the_lists(spark):
+    rng = random.Random(12)
+    clusters = spark.createDataFrame([(c, 100 * c + k) for c in range(12) for k in range(2 + c)], "cluster_id long, doc_idx long")
+    truth = spark.createDataFrame([(100 * rng.randrange(12) + rng.randrange(5), 100 * rng.randrange(12) + rng.randrange(5)) for _ in range(300)] + [(7, 7), (1, 0)], "i long, j long")
+    assert E.cluster_confusion(clusters, truth).first() == E.confusion(C.pairs_within(clusters), truth).first()
+    assert E.cluster_confusion(clusters.limit(0), truth).first() == E.confusion(C.pairs_within(clusters.limit(0)), truth).first()
+    by_size = E.metrics_by_cluster_size(clusters, truth).agg(F.sum("tp"), F.sum("fp"), F.sum("fn")).first()
+    assert tuple(by_size) == tuple(E.cluster_confusion(clusters, truth).first())[:3]
+
+
+def test_giant_clusters(spark):
+    clusters = spark.createDataFrame([(0, 0), (0, 1), (5, 5), (5, 6), (5, 7)], "cluster_id long, doc_idx long")
+    assert [tuple(r) for r in C.giant_clusters(clusters, 2).collect()] == [(5, 3)]
+    assert sorted(r["doc_idx"] for r in C.without_giants(clusters, 2).collect()) == [0, 1]
+
+
+def test_bucket_index_and_pair_keys(spark):
+    from quern.operators import lsh
+
+    index = lsh.BucketIndex()
+    index.add(1, 4)
+    index.add(1, 5)
+    index.add_bucket(2, [9])
+    assert len(index) == 2 and list(index.candidate_buckets()) == [[4, 5]] and index.as_dict() == {1: [4, 5], 2: [9]}
+    keys = spark.createDataFrame([(0, 0, 7), (1, 0, 7), (2, 0, 8)], "doc_idx long, band int, key long")
+    assert lsh.BucketIndex.from_keys(keys).as_dict() == {(0, 7): [0, 1]}
+    assert lsh.encode_pair(1, 5) == 4294967301 == spark.range(1).select(lsh.encode_pair(F.lit(1), F.lit(5)).alias("k")).first()["k"]
+
+
+def test_a_cluster_without_a_shared_folder_is_refused():
+    from types import SimpleNamespace
+
+    from quern.errors import StorageError
+    from quern.storage import shared_folder
+
+    nothing = SimpleNamespace(get=lambda name: None)
+    for master in ("spark://host:7077", "yarn", "local-cluster[2,1,1024]"):
+        with pytest.raises(StorageError):
+            shared_folder(SimpleNamespace(sparkContext=SimpleNamespace(getConf=lambda: nothing, getCheckpointDir=lambda: None, master=master)))
