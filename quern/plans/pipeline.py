@@ -19,6 +19,7 @@ from quern.operators.minhash import MinHasher
 from quern.plans.checkpoint import StageStore, fingerprint
 from quern.sources.readers import ID, content_mark, read_documents
 from quern.sources.writers import alarm, dedup_rate, write_documents, write_stats
+from quern.storage import dropped as remove
 from quern.storage import written
 
 _LOG = logging.getLogger(__name__)
@@ -137,7 +138,7 @@ class DedupPipeline:
         settings = {k: v for k, v in c.to_dict().items() if k not in ("checkpoint_dir", "batch_size", "use_numba", "output_format", "single_file")}
         told = content_mark(self.spark, source) if c.checkpoint_dir else ""
         store = StageStore(self.spark, c.checkpoint_dir, fingerprint(told, settings))
-        made = set()
+        made, temporary = set(), []
 
         def stage(name: str, make) -> DataFrame:
             with self._timed(name):
@@ -145,7 +146,10 @@ class DedupPipeline:
                     return store.load(name)
                 made.add(name)
                 df = make()
-                return store.save(name, df) if store.enabled else written(df, name)
+                if store.enabled:
+                    return store.save(name, df)
+                temporary.append(written(df, name))
+                return temporary[-1]
 
         cjk, shingles = Observation(), Observation()
         by_character = T.is_cjk(F.col("norm_text"), c.cjk_ratio_threshold) if c.shingle_mode == "word" else F.lit(False)
@@ -159,4 +163,7 @@ class DedupPipeline:
         clusters = stage("clusters", lambda: self.cluster_duplicates(edges))
         dropped = stage("dropped", lambda: C.dropped_ids(clusters, self.select_representatives(clusters, docs)))
         histogram = {r["size"]: r["n_clusters"] for r in C.size_histogram(clusters).collect()}
-        return self.write_deduplicated(docs, dropped, dest, histogram, signatures.count())
+        stats = self.write_deduplicated(docs, dropped, dest, histogram, signatures.count())
+        for table in temporary:
+            remove(table)
+        return stats
