@@ -27,7 +27,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from quern.llm.text import Words, chunks, gram_hashes, mix
+from quern.llm.text import Words, chunks, gram_hashes, mix, passed
 from quern.storage import table
 
 SEED = 3
@@ -241,7 +241,7 @@ def without_contaminated(docs: DataFrame, benchmark: DataFrame, threshold: float
                     keep[row[score >= threshold] + lo] = False
                 yield b.filter(pa.array(keep))
 
-        docs = docs.mapInArrow(run, docs.schema)
+        docs = passed(docs, run)
     return docs
 
 

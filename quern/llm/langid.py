@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quern.llm.text import chunks, tables
+from quern.llm.text import chunks, passed, tables
 from quern.storage import table
 
 BUCKETS = 1 << 16
@@ -142,7 +142,7 @@ def in_known_language(docs: DataFrame) -> DataFrame:
         for b in batches:
             yield b.filter(pa.array(_judged(shared.value, b.column(text), b.column(lang))[2]))
 
-    return docs.mapInArrow(run, docs.schema)
+    return passed(docs, run)
 
 
 def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

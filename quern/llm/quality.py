@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quern.llm.text import _BASE, chunks, mix, tables
+from quern.llm.text import _BASE, chunks, mix, passed, tables
 from quern.storage import table
 
 VOCABULARY, DIM, WINDOW, BLOCKS = 1 << 15, 32, 2, 64
@@ -237,7 +237,7 @@ def of_quality(docs: DataFrame, labels: DataFrame) -> DataFrame:
         for b in batches:
             yield b.filter(pa.array(_probabilities(shared.value, b.column(text))[1]))
 
-    return docs.mapInArrow(run, docs.schema)
+    return passed(docs, run)
 
 
 def op6_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -8,12 +8,13 @@ Null texts read as empty.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark.sql import DataFrame
 
 CHUNK = 1 << 19
 _BASE = np.uint64(0x9E3779B97F4A7C15)
@@ -91,6 +92,12 @@ def chunks(col: pa.Array, max_chars: int = CHUNK) -> Iterator[tuple[int, int, np
         lo = hi
 
 
+def passed(docs: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> DataFrame:
+    """``docs`` through a function of batches that keeps the columns; their names, dotted ones too, stay out of it."""
+    plain = docs.toDF(*(f"c{i}" for i in range(len(docs.columns))))
+    return plain.mapInArrow(run, plain.schema).toDF(*docs.columns)
+
+
 class Words:
     """The words of one chunk, in order: runs of letters, digits and underscores; in scripts without spaces every letter.
 

@@ -96,3 +96,16 @@ def test_every_operator_has_a_query_and_the_whole_pipeline_runs_empty(spark, fol
     for t in ("documents", "labels", "benchmark"):
         spark.read.parquet(f"{folder}/{t}.parquet").limit(0).write.parquet(f"{tmp_path}/{t}.parquet")
     assert P.run(spark, str(tmp_path)).count() == 0
+
+
+def test_repeated_and_null_ids_and_clashing_columns_pass_through(spark, folder):
+    docs = spark.read.parquet(f"{folder}/documents.parquet").selectExpr("*", "1 AS `a.b`", "'x' AS probability", "2 AS class_id", "'y' AS __row")
+    some = docs.where("doc_id < 30")
+    rows = some.union(some.where("doc_id in (1, 2)")).union(some.where("doc_id = 3").selectExpr("1 AS doc_id", *(f"`{c}`" for c in docs.columns[1:]))).union(some.where("doc_id = 5").selectExpr("CAST(NULL AS BIGINT) AS doc_id", *(f"`{c}`" for c in docs.columns[1:])))
+    for name, stage in P.STAGES[:-1]:
+        rows = P.written(stage(spark, rows, folder), name)
+        assert rows.columns == docs.columns, name
+    got = sorted((r["doc_id"] is None, r["doc_id"] or 0, r["text"]) for r in rows.collect())
+    assert len(got) == len(set(got)) and sum(d == 1 for _, d, _ in got) == 2 and got[-1][0]
+    tokens = P.STAGES[-1][1](spark, rows, folder).collect()
+    assert len(tokens) == len(got) and all(r["round_trip"] for r in tokens)
