@@ -30,7 +30,7 @@ from quern.storage import table
 
 VOCABULARY = os.environ.get("QUERN_BYTE_BPE", "/opt/tokenizers/byte_bpe_50k.tiktoken")  #: rank file
 _LONG = 64  # bytes from which a word has a tree of its own
-_KEPT = 400_000  # words remembered by a worker before it starts afresh
+_KEPT = 150_000  # words remembered by a worker before it starts afresh
 _NONE = np.int64(np.iinfo(np.int64).max)
 
 

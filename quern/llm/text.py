@@ -8,6 +8,7 @@ Null texts read as empty.
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Callable, Iterator
 from functools import lru_cache
 
@@ -74,6 +75,14 @@ def string_buffers(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return (np.frombuffer(data, dtype=np.uint8) if data is not None and len(data) else np.zeros(0, np.uint8)), off
 
 
+@lru_cache(maxsize=1)
+def _trim() -> Callable[[int], int]:
+    try:
+        return ctypes.CDLL("libc.so.6").malloc_trim
+    except (OSError, AttributeError):  # another C library
+        return lambda pad: 0
+
+
 def chunks(col: pa.Array, max_chars: int = CHUNK) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """``(first row, end row, code points, offsets)`` of runs of whole rows; offsets count code points and start at 0."""
     data, off = string_buffers(col)
@@ -90,6 +99,7 @@ def chunks(col: pa.Array, max_chars: int = CHUNK) -> Iterator[tuple[int, int, np
             ends = np.concatenate([[0], np.cumsum((part & 0xC0) != 0x80)])
             yield lo, hi, cp, ends[rel]
         lo = hi
+    _trim()(0)  # a worker serves stage after stage: what a batch took goes back to the system
 
 
 def passed(docs: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> DataFrame:
