@@ -6,30 +6,32 @@ two-bit segment. The Manhattan distance of two such vectors never exceeds the
 Hamming distance of the fingerprints, so a range join on the counts misses no
 pair; the exact Hamming distance decides.
 
-The grid: the 64 axes fall into 12 groups. Two fingerprints at most ``K`` = 22
-bits apart have vectors at most 22 apart, so in some group they differ by at
-most 1 (in the last group by 0): were it more in every group, the sum would be
-at least 11 x 2 + 1 = 23. A point is therefore put, for every group, into the
-cells of its counts with one axis left open; a cell with an open axis is the
-point's own cell and its neighbours along that axis. Points that share a cell
-(and, on a further axis, the logarithm of the number of tokens, the same or the
-neighbouring interval) are compared. Up to ``WHOLE`` distinct fingerprints this
-loses no pair, whatever else is in the table, and what is shuffled is 59 cells
-of 29 bytes a point, in proportion to the input.
-
-A cell holds a fixed part of all points, so comparing whole cells is quadratic.
-Beyond ``WHOLE`` points each cell is cut by sampled bits, in as many tables as
-let a pair at distance K meet in that cell with probability ``MEETS``. Such a
-pair shares 12 cells on average and 2 at least in 20,000 random ones, each cut
-by other bits, so its chance to be met in none is about 1 in 80,000 at any
-size (closer pairs are surer).
+The grid: tokens and segments are its axes. On the axis of the logarithm of the
+number of tokens a point is in its own interval and, where a longer partner may
+be there, in the next. The 64 axes of segments fall into 3 groups. Two
+fingerprints at most ``K`` = 22 bits apart are at most 7, 7 or 6 apart in one of
+them: were they more in each, the sum would be at least 8 + 8 + 7 = 23. The
+cells of a group leave some of its bits open and fix the others. Every bit of a
+group that may differ by r has a code of r + 1 bits, and there is a table for
+every number v of r + 1 bits but 0, which fixes the bits whose codes have an odd
+number of ones in common with v. The codes of any r bits leave a v that has an
+even number in common with all of them, so whichever r bits differ, some table
+leaves them all open, and the pair shares a cell there. So no pair is lost,
+whatever its distance up to K, the size of the table and the other points.
+
+These are 255 + 255 + 127 tables, whose cells hold a 1,700th of all pairs of
+random points together, so they are made where they are looked at and not
+shuffled: a task gets the points of an interval (of two blocks of ``BLOCK``
+points where there are more) and a run of tables, sorts by each and compares
+what shares a cell. Intervals of up to ``FEW`` points take 4 groups with 220
+tables, which lose no pair either.
 
 Definition of the result: two documents are near duplicates if their
 fingerprints differ in at most ``K`` bits and the smaller number of tokens is
 at least ``ratio`` of the larger. Classes are the connected components of that
 relation; the row with the least doc_id of each class stays. A pair is counted
-where it meets first, in the order of groups, open axes and tables, so that
-links are counted once without a list of all pairs.
+in the first table in which it meets, so that links are counted once without a
+list of all pairs.
 """
 
 from __future__ import annotations
@@ -51,16 +53,17 @@ from quern.storage import observed, table, written
 BITS, SEGMENTS = 128, 64
 K = 22  #: bits that near duplicates may differ in
 RATIO = 0.8  #: least quotient of their token counts
-WHOLE = 1 << 16  #: distinct fingerprints up to which cells are compared whole
-MEETS = 0.95  #: chance of a pair at distance K to be met in one cell that is cut
+FEW = 1 << 14  #: points up to which 4 groups of axes cost less than 3; both lose no pair
+BLOCK = 1 << 20  #: points of an interval that a task takes, or twice as many of two blocks
+WORK = 1 << 22  #: points times tables of an interval that make a task; more make tasks by their root, as each gets all points
 BROADCAST_IDS = 8_000_000  #: ids of dropped documents up to which they are broadcast (128 MB in the JVM)
-PART_BYTES = 64 << 20  #: cells of about this size make a task
 _LANES = np.uint64(0x0101010101010101)
 _EVEN = np.uint64(0x5555555555555555)
 _SMALL = 48  # points up to which cells are compared side by side instead of one by one
 _TOGETHER = 1 << 18  # pairs that are looked at together
+_HELD = 1 << 22  # links that are summed together
 _PIECE = 255  # words that byte lanes can count without overflow
-_COLUMNS = [("f1", np.uint64), ("f2", np.uint64), ("point", np.int64), ("n", np.int32), ("key", np.uint8)]  # of a point in a cell
+_COLUMNS = [("f1", np.uint64), ("f2", np.uint64), ("point", np.int64), ("n", np.int32)]  # of a point in an interval
 
 
 def fingerprints(words: Words, rows: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -125,83 +128,96 @@ def segment_counts(f1: np.ndarray, f2: np.ndarray) -> np.ndarray:
     return np.concatenate([(embedded(f)[:, None] >> places) & np.uint64(3) for f in (f1, f2)], axis=1).astype(np.uint8)
 
 
-def _groups() -> list[list[int]]:
-    """Twelve groups of axes; the last, which allows no difference, is one of the larger ones."""
+#: Codes of the bits of a group, by the number r of bits that may differ in it; found by a search for tables that fix about equally many bits.
+_CODES = {
+    7: [226, 253, 240, 145, 196, 105, 172, 249, 195, 156, 40, 140, 237, 55, 25, 121, 21, 239, 241, 72, 17, 233, 201, 194, 154, 90, 242, 203, 74, 60, 182, 66, 130, 141, 174, 200, 76, 86, 119, 231, 77, 62, 169, 234],
+    6: [110, 121, 13, 113, 116, 16, 62, 101, 82, 111, 7, 26, 45, 80, 90, 48, 5, 14, 69, 39, 15, 122, 70, 12, 89, 24, 2, 25, 44, 114, 103, 54, 65, 33, 37, 76, 58, 77, 49, 83, 4, 102],
+    5: [49, 25, 16, 53, 7, 47, 29, 6, 48, 3, 52, 46, 38, 11, 2, 56, 24, 57, 39, 42, 20, 61, 17, 34, 35, 28, 21, 43, 60, 10, 14, 15],
+    4: [30, 14, 22, 11, 10, 4, 3, 25, 28, 5, 7, 8, 16, 19, 31, 12, 20, 17, 15, 29, 9, 26, 21, 1, 13, 27, 18, 2, 24, 23, 27, 6],
+}
+
+
+def _tables(sizes: list[int], radii: list[int]) -> np.ndarray:
+    """(tables, 2) masks of the bits that the tables fix, for groups of so many axes that may differ by so many bits."""
     order = np.random.default_rng(20240611).permutation(SEGMENTS).tolist()
-    sizes = [5] * 8 + [6] * 4
-    ends = np.cumsum([0, *sizes])
-    return [order[a:z] for a, z in zip(ends, ends[1:])]
+    masks = []
+    for r in radii:
+        axes, order = order[: sizes[0]], order[sizes[0] :]
+        sizes = sizes[1:]
+        bits = [2 * a + half for a in axes for half in range(2)]
+        for v in range(1, 2 << r):
+            fixed = sum(1 << b for b, code in zip(bits, _CODES[r]) if (code & v).bit_count() % 2)
+            masks.append((fixed & (1 << 64) - 1, fixed >> 64))
+    return np.array(masks, np.uint64)
 
 
-def _lanes(axes: list[int]) -> tuple[np.uint64, np.uint64]:
-    """Masks of the low bits of some axes in the two halves."""
-    return tuple(np.uint64(sum(1 << 2 * (a - 32 * half) for a in axes if a // 32 == half)) for half in range(2))
+KEYS = _tables([22, 21, 21], [7, 7, 6])
+_KEYS_OF_FEW = _tables([16, 16, 16, 16], [5, 5, 5, 4])
 
 
-GROUPS = _groups()
-#: (group, open axis or None): every point is in one cell of each
-KEYS = [(g, a) for g, axes in enumerate(GROUPS[:-1]) for a in axes] + [(len(GROUPS) - 1, None)]
-_OF_KEY = [_lanes([x for x in GROUPS[g] if x != a]) for g, a in KEYS]
+def tables_of(points: int) -> np.ndarray:
+    """(tables, 2) masks of the bits fixed by the tables that cost least for so many points. Those for any number find every pair."""
+    return _KEYS_OF_FEW if points <= FEW else KEYS
 
 
-def tables_of(points: int) -> np.ndarray | None:
-    """(tables, keys, 2) masks of the bits by which the cells of each key are cut, other bits for every key; None up to WHOLE points."""
-    if points <= WHOLE:
-        return None
-    bits = math.ceil(math.log2(points)) - 13
-    rng = np.random.default_rng(7)
-    masks = []
-    for g, a in KEYS:
-        free = [b for b in range(BITS) if b // 2 not in GROUPS[g] or b // 2 == a]
-        q = min(bits, len(free) - K)
-        same = math.comb(len(free) - K, q) / math.comb(len(free), q)
-        mine = []
-        for _ in range(math.ceil(math.log(1 - MEETS) / math.log(1 - same))):
-            chosen = sum(1 << b for b in rng.choice(free, q, replace=False).tolist())
-            mine.append((chosen & (1 << 64) - 1, chosen >> 64))
-        masks.append(mine)
-    most = max(map(len, masks))
-    return np.array([(m * most)[:most] for m in masks], np.uint64).transpose(1, 0, 2)
+def _width(ratio: float) -> float:
+    return max(-math.log(ratio), 1e-6) * 2
 
 
-def _cell(key: int, c1: np.ndarray, c2: np.ndarray, interval: np.ndarray) -> np.ndarray:
-    """Hash of the cell of a key: the counts of its axes and the interval of lengths."""
-    m1, m2 = (x * np.uint64(3) for x in _OF_KEY[key])
-    return mix(mix((c1 & m1) + np.uint64(key)) + mix((c2 & m2) + interval.astype(np.int64).view(np.uint64)))
+def _tasks(cells: dict[int, int], tables: np.ndarray | None, block: int, work: int) -> tuple[dict[int, tuple[int, list[list[int]]]], list[tuple[np.ndarray, int, int, int, int]]]:
+    """From the points of each interval: into how many blocks it falls and which tasks want each of them, and the tasks: their tables, of which they take those from the one number to before the other, and their two blocks."""
+    wanted, tasks = {}, []
+    for cell, n in sorted(cells.items()):
+        blocks = -(-n // block)
+        want: list[list[int]] = [[] for _ in range(blocks)]
+        per = min(n, 2 * block)
+        masks = tables_of(per) if tables is None else tables
+        runs = min(len(masks), math.ceil(math.sqrt(per * len(masks) / work)))
+        for a, b in [(a, b) for a in range(blocks) for b in range(a + 1, blocks)] or [(0, 0)]:
+            for run in range(runs):
+                for x in {a, b}:
+                    want[x].append(len(tasks))
+                tasks.append((masks, len(masks) * run // runs, len(masks) * (run + 1) // runs, a, b))
+        wanted[cell] = blocks, want
+    return wanted, tasks
 
 
-def _width(ratio: float) -> float:
-    return max(-math.log(ratio), 1e-6) * 4
+def _block_of(point: np.ndarray, blocks: int) -> np.ndarray:
+    return (mix(point.view(np.uint64)) % np.uint64(blocks)).astype(np.int64)
 
 
-def _blocks(points: DataFrame, ratio: float, parts: int) -> DataFrame:
-    """``(part, n, data)``: points in their cells, packed. On the axis of lengths a point also visits the next interval if a longer partner may be there; its number of tokens is negative then."""
-    width = _width(ratio)
+def _blocks(points: DataFrame, wanted: dict[int, tuple[int, list[list[int]]]]) -> DataFrame:
+    """``(task, blocks, data)``: points for the tasks of their intervals, packed. A visitor from the interval below has a negative number of tokens."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for lo in range(0, b.num_rows, 1 << 14):
-                f1, f2 = (b.column(c).slice(lo, 1 << 14).to_numpy().view(np.uint64) for c in ("f1", "f2"))
-                point, n = (b.column(c).slice(lo, 1 << 14).to_numpy() for c in ("point", "tokens"))
-                own = np.floor(np.log(n) / width)
-                above = np.flatnonzero(np.floor((np.log(n) - math.log(ratio) + 1e-9) / width) > own)
-                pick = np.concatenate([np.arange(len(n)), above])
-                interval = np.concatenate([own, own[above] + 1])
-                signed = np.concatenate([n, -n[above]]).astype(np.int32)
-                c1, c2 = embedded(f1)[pick], embedded(f2)[pick]
-                part = np.concatenate([(_cell(k, c1, c2, interval) % np.uint64(parts)).astype(np.int64) for k in range(len(KEYS))])
-                order = np.argsort(part, kind="stable")
-                key, at = (order // len(pick)).astype(np.uint8), order % len(pick)
-                columns = f1[pick][at], f2[pick][at], point[pick][at], signed[at], key
-                found, first = np.unique(part[order], return_index=True)
-                ends = [*first[1:], len(order)]
-                yield pa.RecordBatch.from_arrays([pa.array(found), pa.array([b"".join(x[a:z].tobytes() for x in columns) for a, z in zip(first, ends)], pa.binary())], ["part", "data"])
-
-    return points.select("point", "f1", "f2", "tokens").mapInArrow(run, "part long, data binary")
+            f1, f2, point, tokens, own = (b.column(c).to_numpy() for c in ("f1", "f2", "point", "tokens", "own"))
+            above = np.flatnonzero(b.column("above").to_numpy(zero_copy_only=False))
+            pick = np.concatenate([np.arange(len(own)), above])
+            cell = np.concatenate([own, own[above] + 1])
+            columns = f1[pick], f2[pick], point[pick], np.concatenate([tokens, -tokens[above]]).astype(np.int32)
+            task, count, data = [], [], []
+            for c in np.unique(cell).tolist():
+                blocks, want = wanted[c]
+                at = np.flatnonzero(cell == c)
+                block = _block_of(columns[2][at], blocks)
+                for x in np.unique(block).tolist():
+                    mine = at[block == x]
+                    packed = b"".join(y[mine].tobytes() for y in columns)
+                    for t in want[x]:
+                        task.append(t)
+                        count.append(blocks)
+                        data.append(packed)
+                        if len(data) >= 1 << 10:
+                            yield pa.RecordBatch.from_arrays([pa.array(task, pa.int32()), pa.array(count, pa.int64()), pa.array(data, pa.binary())], ["task", "blocks", "data"])
+                            task, count, data = [], [], []
+            yield pa.RecordBatch.from_arrays([pa.array(task, pa.int32()), pa.array(count, pa.int64()), pa.array(data, pa.binary())], ["task", "blocks", "data"])
+
+    return points.mapInArrow(run, "task int, blocks long, data binary")
 
 
 def _unpacked(data: list[bytes]) -> list[np.ndarray]:
-    """The columns of all blocks of a part."""
+    """The columns of all blocks of a task."""
     width = sum(np.dtype(kind).itemsize for _, kind in _COLUMNS)
     out = []
     before = 0
@@ -211,19 +227,8 @@ def _unpacked(data: list[bytes]) -> list[np.ndarray]:
     return out
 
 
-def _near(f1: np.ndarray, f2: np.ndarray, n: np.ndarray, i: np.ndarray, j: np.ndarray, k: int, ratio: float) -> np.ndarray:
-    """Which of the candidates (i, j) are within k bits and ``ratio``; two visitors of an interval don't count, they meet in their own."""
-    a, b = np.abs(n[i]), np.abs(n[j])
-    ok = np.bitwise_count(f1[i] ^ f1[j]) + np.bitwise_count(f2[i] ^ f2[j]) <= k
-    return ok & ((n[i] > 0) | (n[j] > 0)) & (np.minimum(a, b) >= ratio * np.maximum(a, b))
-
-
-def _candidates(cell: np.ndarray, c1: np.ndarray, c2: np.ndarray, k: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Pairs of positions in equal cells (``cell`` is sorted) whose embeddings are at most k apart by Manhattan distance.
-
-    The distance of two counts of two bits is the number of ones in the exclusive or of their codes 00, 01, 11.
-    """
-    u1, u2 = (c | (c >> np.uint64(1)) & _EVEN for c in (c1, c2))  # 0, 1, 2 become 00, 01, 11
+def _candidates(cell: np.ndarray, f1: np.ndarray, f2: np.ndarray, k: int, before: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs of positions in equal cells (``cell`` is sorted) whose fingerprints are at most k bits apart; where many are, without those that met in the tables before."""
     first = np.flatnonzero(np.r_[True, cell[1:] != cell[:-1]]) if len(cell) else np.zeros(0, np.int64)
     size = np.diff(np.append(first, len(cell)))
     small = np.flatnonzero((size > 1) & (size <= _SMALL))
@@ -233,41 +238,69 @@ def _candidates(cell: np.ndarray, c1: np.ndarray, c2: np.ndarray, k: int) -> Ite
     step = 1
     while len(at := at[left >= step]):  # each with the one so many places behind it, all small cells at once
         left = left[left >= step]
-        near = at[np.bitwise_count(u1[at] ^ u1[at + step]) + np.bitwise_count(u2[at] ^ u2[at + step]) <= k]
+        near = at[np.bitwise_count(f1[at] ^ f1[at + step]) + np.bitwise_count(f2[at] ^ f2[at + step]) <= k]
         yield near, near + step
         step += 1
     for c in np.flatnonzero(size > _SMALL).tolist():
-        x1, x2 = (u[first[c] : first[c] + size[c]] for u in (u1, u2))
+        x1, x2 = (f[first[c] : first[c] + size[c]] for f in (f1, f2))
         rows = max(1, (1 << 16) // len(x1))
         for lo in range(0, len(x1) - 1, rows):
-            d = np.bitwise_count(x1[lo : lo + rows, None] ^ x1[None, lo + 1 :])
-            d += np.bitwise_count(x2[lo : lo + rows, None] ^ x2[None, lo + 1 :])
-            i, j = np.divmod(np.flatnonzero(d <= k), d.shape[1])
+            d1, d2 = (x[lo : lo + rows, None] ^ x[None, lo + 1 :] for x in (x1, x2))
+            near = np.bitwise_count(d1) + np.bitwise_count(d2) <= k
+            if 8 * np.count_nonzero(near) > near.size:
+                for m1, m2 in before:
+                    near &= ((d1 & m1) | (d2 & m2)) != 0
+            i, j = np.divmod(np.flatnonzero(near), near.shape[1])
             up = j >= i  # column j is point lo + 1 + j
             yield first[c] + lo + i[up], first[c] + lo + 1 + j[up]
 
 
-def _first_key(f: tuple[np.ndarray, np.ndarray], g: tuple[np.ndarray, np.ndarray], tables: np.ndarray | None) -> np.ndarray:
-    """The first of ``KEYS`` by which each pair of fingerprints meets; ``len(KEYS)`` where there is none."""
-    x = [embedded(a) ^ embedded(b) for a, b in zip(f, g)]
-    x = [(y | y >> np.uint64(1)) & _EVEN for y in x]  # one bit for each axis that differs
-    out = np.full(len(x[0]), len(KEYS), np.int64)
-    for key, m in enumerate(_OF_KEY):
-        at = np.flatnonzero((out == len(KEYS)) & ((x[0] & m[0]) == 0) & ((x[1] & m[1]) == 0))
-        if tables is not None and len(at):
-            d = [(c[at] ^ e[at]) for c, e in zip(f, g)]
-            at = at[np.any([((d[0] & e1) | (d[1] & e2)) == 0 for e1, e2 in tables[:, key]], axis=0)]
-        out[at] = key
+def _first_key(f: tuple[np.ndarray, np.ndarray], g: tuple[np.ndarray, np.ndarray], tables: np.ndarray | None = None) -> np.ndarray:
+    """The first of the tables (``KEYS`` if none are given) in which each pair of fingerprints meets; ``len(KEYS)`` where there is none."""
+    x1, x2 = (a ^ b for a, b in zip(f, g))
+    tables = KEYS if tables is None else tables
+    out = np.full(len(x1), len(KEYS), np.int64)
+    open_ = np.arange(len(x1))
+    for lo in range(0, len(tables), 8):
+        first = np.full(len(open_), len(KEYS), np.int64)
+        for t in reversed(range(lo, min(lo + 8, len(tables)))):
+            first[((x1 & tables[t, 0]) | (x2 & tables[t, 1])) == 0] = t
+        out[open_] = first
+        left = np.flatnonzero(first == len(KEYS))
+        if not len(left):
+            break
+        open_, x1, x2 = open_[left], x1[left], x2[left]
     return out
 
 
-def _gathered(pairs: Iterator[tuple[np.ndarray, np.ndarray]]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+def _met(f1: np.ndarray, f2: np.ndarray, tables: np.ndarray, lo: int, hi: int, k: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """``(i, j, table)`` of pairs of positions at most k bits apart, in the tables of the run in which they meet (in the first of all at least, if that is in the run)."""
+    bits = np.uint64(max(1, (len(f1) - 1).bit_length()))
+    place = np.arange(len(f1), dtype=np.uint64)
+    for t in range(lo, hi):
+        h = (f1 & tables[t, 0]) * np.uint64(0x9E3779B97F4A7C15)
+        h ^= (f2 & tables[t, 1]) * np.uint64(0xC2B2AE3D27D4EB4F)
+        h ^= h >> np.uint64(32)
+        h *= np.uint64(0xFF51AFD7ED558CCD)
+        h >>= bits  # equal cells have equal hashes; others may, and are told apart by the distance
+        h <<= bits
+        h |= place
+        h.sort()
+        cell = h >> bits
+        same = cell[1:] == cell[:-1]
+        shared = np.flatnonzero(np.r_[False, same] | np.r_[same, False])
+        at = (h[shared] & ((np.uint64(1) << bits) - np.uint64(1))).astype(np.int64)
+        for i, j in _candidates(cell[shared], f1[at], f2[at], k, tables[max(0, t - 8) : t]):
+            yield at[i], at[j], np.full(len(i), t)
+
+
+def _gathered(pairs: Iterator[tuple[np.ndarray, ...]]) -> Iterator[tuple[np.ndarray, ...]]:
     """The same pairs, many at a time."""
     held, n = [], 0
-    for i, j in pairs:
-        if len(i):
-            held.append((i, j))
-            n += len(i)
+    for found in pairs:
+        if len(found[0]):
+            held.append(found)
+            n += len(found[0])
         if n > _TOGETHER:
             yield tuple(map(np.concatenate, zip(*held)))
             held, n = [], 0
@@ -275,52 +308,53 @@ def _gathered(pairs: Iterator[tuple[np.ndarray, np.ndarray]]) -> Iterator[tuple[
         yield tuple(map(np.concatenate, zip(*held)))
 
 
-def _links_of(f1: np.ndarray, f2: np.ndarray, point: np.ndarray, n: np.ndarray, key: np.ndarray, tables: np.ndarray | None, k: int, ratio: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Every link between points of shared cells that is first met there."""
-    width = _width(ratio)
+def _links_of(f1: np.ndarray, f2: np.ndarray, point: np.ndarray, n: np.ndarray, blocks: int, task: tuple[np.ndarray, int, int, int, int], k: int, ratio: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Every link that the task has to count: first met in one of its tables, and between its blocks or, where no other task has them together, within one."""
+    tables, lo, hi, a, b = task
+    block = _block_of(point, blocks)
+    within = [x for x in {a, b} if (x == a and b <= a + 1) or (x == b == blocks - 1 and a == b - 1)]
+    whole = np.isin(np.arange(blocks), within)
     tokens = np.abs(n)
-    interval = np.floor(np.log(tokens) / width) + (n < 0)
-    c1, c2 = embedded(f1), embedded(f2)
-    cell = np.zeros(len(key), np.uint64)
-    order = np.argsort(key, kind="stable")
-    ends = np.searchsorted(key[order], np.arange(len(KEYS) + 1))
-    for q in np.unique(key).tolist():
-        at = order[ends[q] : ends[q + 1]]
-        cell[at] = _cell(q, c1[at], c2[at], interval[at])
-    for t in range(1 if tables is None else len(tables)):
-        mine = cell if tables is None else mix(cell + mix((f1 & tables[t, key, 0]) + mix(f2 & tables[t, key, 1])))
-        order = np.argsort(mine, kind="stable")
-        for i, j in _gathered(_candidates(mine[order], c1[order], c2[order], k)):
-            i, j = order[i], order[j]
-            ok = _near(f1, f2, n, i, j, k, ratio)
-            i, j = i[ok], j[ok]
-            ok = _first_key((f1[i], f2[i]), (f1[j], f2[j]), tables) == key[i]
-            for before in range(t):  # met in another table of the key
-                ok &= (((f1[i] ^ f1[j]) & tables[before, key[i], 0]) | ((f2[i] ^ f2[j]) & tables[before, key[i], 1])) != 0
-            if ok.any():
-                yield point[i[ok]], point[j[ok]]
-
-
-def _links(blocks: DataFrame, parts: int, tables: np.ndarray | None, k: int, ratio: float) -> DataFrame:
+    for i, j, t in _gathered(_met(f1, f2, tables, lo, hi, k)):
+        ok = (n[i] > 0) | (n[j] > 0)  # two visitors meet in their own interval
+        ok &= np.minimum(tokens[i], tokens[j]) >= ratio * np.maximum(tokens[i], tokens[j])
+        ok &= (block[i] != block[j]) | whole[block[i]]
+        i, j, t = i[ok], j[ok], t[ok]
+        ok = _first_key((f1[i], f2[i]), (f1[j], f2[j]), tables) == t
+        if ok.any():
+            yield point[i[ok]], point[j[ok]]
+
+
+def _links(blocks: DataFrame, tasks: list[tuple[np.ndarray, int, int, int, int]], k: int, ratio: float) -> DataFrame:
     """``(i, j, n)``: edges between points that connect what is linked (j is not null), and (j null) numbers of links of a point i."""
-    def joined(data: list[bytes]) -> Iterator[pa.RecordBatch]:
-        found = list(_links_of(*_unpacked(data), tables, k, ratio))
-        if found:
-            yield from _summed(np.concatenate([i for i, _ in found]), np.concatenate([j for _, j in found]))
+    sets = list({id(t[0]): t[0] for t in tasks}.values())  # the masks are sent once
+    plans = [(next(x for x, masks in enumerate(sets) if masks is t[0]), *t[1:]) for t in tasks]
+
+    def joined(task: int, count: int, data: list[bytes]) -> Iterator[pa.RecordBatch]:
+        which, *rest = plans[task]
+        held, n = [], 0
+        for i, j in _links_of(*_unpacked(data), count, (sets[which], *rest), k, ratio):
+            held.append((i, j))
+            n += len(i)
+            if n > _HELD:
+                yield from _summed(*map(np.concatenate, zip(*held)))
+                held, n = [], 0
+        if held:
+            yield from _summed(*map(np.concatenate, zip(*held)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, part = [], None
-        for b in batches:  # sorted by part
-            for p, data in zip(b.column("part").to_pylist(), b.column("data")):
-                if p != part and held:
-                    yield from joined(held)
+        held, now = [], None
+        for b in batches:  # sorted by task
+            for t, count, data in zip(b.column("task").to_pylist(), b.column("blocks").to_pylist(), b.column("data")):
+                if now and t != now[0]:
+                    yield from joined(*now, held)
                     held = []
-                part = p
+                now = t, count
                 held.append(data.as_py())
-        if held:
-            yield from joined(held)
+        if now:
+            yield from joined(*now, held)
 
-    spread = blocks.repartition(min(parts, 100_000), "part").sortWithinPartitions("part")
+    spread = blocks.repartitionById(max(1, min(len(tasks), 100_000)), "task").sortWithinPartitions("task")
     return spread.mapInArrow(run, "i long, j long, n long")
 
 
@@ -333,13 +367,20 @@ def _summed(i: np.ndarray, j: np.ndarray) -> Iterator[pa.RecordBatch]:
     yield pa.RecordBatch.from_arrays([pa.array(ends), pa.nulls(len(ends), pa.int64()), pa.array(n)], ["i", "j", "n"])
 
 
-def near_duplicates(points: DataFrame, k: int = K, ratio: float = RATIO, tables: np.ndarray | None = None) -> DataFrame:
-    """From ``(point, f1, f2, tokens)`` with distinct points: ``(i, j, n)`` as :func:`_links` gives them. ``tables`` are planned for the number of points where none are given."""
-    spark = points.sparkSession
-    n = points.count()
-    size = n * len(KEYS) * 1.25 * sum(np.dtype(kind).itemsize for _, kind in _COLUMNS)
-    parts = max(2 * int(spark.conf.get("spark.sql.shuffle.partitions")), math.ceil(size / PART_BYTES))
-    return _links(_blocks(points, ratio, parts), parts, tables_of(n) if tables is None else tables, k, ratio)
+def near_duplicates(points: DataFrame, k: int = K, ratio: float = RATIO, tables: np.ndarray | None = None, block: int = BLOCK, work: int = WORK) -> DataFrame:
+    """From ``(point, f1, f2, tokens)`` with distinct points: ``(i, j, n)`` as :func:`_links` gives them. ``tables`` are chosen by the number of points of an interval where none are given; they, ``block`` and ``work`` don't change the links."""
+    if k > K:
+        raise ValueError(f"the tables find pairs of at most {K} bits' difference")
+    width, length = _width(ratio), F.log(F.col("tokens").cast("double"))
+    own = F.floor(length / width)
+    placed = points.select("point", "f1", "f2", "tokens", own.alias("own"), (F.floor((length - math.log(ratio) + 1e-9) / width) > own).alias("above"))
+    cells: dict[int, int] = {}
+    for r in placed.groupBy("own").agg(F.count("*").alias("n"), F.count_if("above").alias("above")).collect():
+        cells[r["own"]] = cells.get(r["own"], 0) + r["n"]
+        if r["above"]:
+            cells[r["own"] + 1] = cells.get(r["own"] + 1, 0) + r["above"]
+    wanted, tasks = _tasks(cells, tables, block, work)
+    return _links(_blocks(placed, wanted), tasks, k, ratio)
 
 
 def _points(prints: DataFrame, k: int, ratio: float) -> DataFrame:

@@ -164,3 +164,22 @@ def test_cut_cells_lose_hardly_a_pair_at_any_size(spark):
     for points in (1 << 17, 1 << 20):
         met, repeated = links_of(spark, small, S.tables_of(points))
         assert len(met) >= 299 and not repeated
+
+
+def test_blocks_and_runs_of_tables_don_t_change_the_links(spark):
+    texts = corpus(seed=6, n=150)
+    f1, f2, n = prints(texts)
+    points = sorted(set(zip(f1.view(np.int64).tolist(), f2.view(np.int64).tolist(), n.tolist())))
+    table = spark.createDataFrame([(i, *p) for i, p in enumerate(points)], "point long, f1 long, f2 long, tokens long")
+    a, b = (np.array([p[half] for p in points]).view(np.uint64) for half in range(2))
+    size = np.array([p[2] for p in points])
+    want = Counter()
+    for i in range(len(points)):
+        d = np.bitwise_count(a ^ a[i]).astype(int) + np.bitwise_count(b ^ b[i])
+        want[i] = int(((d <= S.K) & (np.minimum(size, size[i]) >= S.RATIO * np.maximum(size, size[i]))).sum()) - 1
+    assert sum(want.values()) > 100
+    for options in ({}, {"tables": S.KEYS}, {"block": 20}, {"block": 7, "work": 500}):
+        got = Counter()
+        for r in S.near_duplicates(table, **options).where("j is null").collect():
+            got[r["i"]] += r["n"]
+        assert +got == +want, options
