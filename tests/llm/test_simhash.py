@@ -166,6 +166,38 @@ def test_cut_cells_lose_hardly_a_pair_at_any_size(spark):
         assert len(met) >= 299 and not repeated
 
 
+#: 22 bits in which a pair may differ and share no cell that was cut by sampled bits, as cells were beyond 65,536 points.
+LOST_BY_SAMPLES = [2, 8, 21, 24, 35, 41, 43, 59, 63, 68, 75, 89, 92, 95, 97, 99, 101, 102, 109, 112, 116, 122]
+
+
+def test_no_pattern_of_bits_is_lost_in_a_large_table(spark):
+    f = np.random.default_rng(11).integers(0, 1 << 64, (2, 70_000), dtype=np.uint64)
+    for bit in LOST_BY_SAMPLES:
+        f[bit // 64, 1] = f[bit // 64, 1] & ~np.uint64(1 << bit % 64) | ~f[bit // 64, 0] & np.uint64(1 << bit % 64)
+    rest = np.uint64(sum(1 << b for b in range(64) if b not in LOST_BY_SAMPLES)), np.uint64(sum(1 << b for b in range(64) if b + 64 not in LOST_BY_SAMPLES))
+    for half in range(2):
+        f[half, 1] = f[half, 1] & ~rest[half] | f[half, 0] & rest[half]
+    assert np.bitwise_count(f[:, 0] ^ f[:, 1]).sum() == S.K
+    met, repeated = links_of(spark, f)
+    assert (0, 1) in met and not repeated
+
+
+def test_some_table_leaves_any_bits_of_a_group_open():
+    """The codes of any r bits are orthogonal to some v, as r vectors of r + 1 bits have a rank of r at most; so it is enough that every table fixes what its v says."""
+    for tables, radii in ((S.tables_of(1), [5, 5, 5, 4]), (S.tables_of(10**9), [7, 7, 6])):
+        assert sum(r + 1 for r in radii) > S.K and len(tables) == sum((2 << r) - 1 for r in radii)
+        at, seen = 0, []
+        for r in radii:
+            own = tables[at : at + (2 << r) - 1]
+            fixed = np.array([[int(m[b // 64]) >> b % 64 & 1 for b in range(S.BITS)] for m in own])
+            at += len(own)
+            seen.append(fixed.any(axis=0))
+            code = sum(fixed[(1 << x) - 1] << x for x in range(r + 1))  # the tables of v = 1, 2, 4, ...
+            want = np.bitwise_count(np.arange(1, 2 << r)[:, None] & code[None, :]) % 2
+            assert (fixed == want).all()
+        assert (np.sum(seen, axis=0) == 1).all()  # every bit is in one group
+
+
 def test_blocks_and_runs_of_tables_don_t_change_the_links(spark):
     texts = corpus(seed=6, n=150)
     f1, f2, n = prints(texts)
