@@ -2,11 +2,15 @@
 
 import random
 
+import numpy as np
+import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 import corpus_pipeline as P
 from quern.llm import bpe, decontaminate, langid, quality, simhash
+from tests.llm.test_simhash import LOST_BY_SAMPLES
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 
@@ -109,3 +113,19 @@ def test_repeated_and_null_ids_and_clashing_columns_pass_through(spark, folder):
     assert len(got) == len(set(got)) and sum(d == 1 for _, d, _ in got) == 2 and got[-1][0]
     tokens = P.STAGES[-1][1](spark, rows, folder).collect()
     assert len(tokens) == len(got) and all(r["round_trip"] for r in tokens)
+
+
+def test_near_dedup_does_not_depend_on_how_many_other_documents_there_are(spark, monkeypatch):
+    """Texts name their fingerprints; the pair differs in 22 bits and was lost where cells were cut, beyond 65,536 fingerprints."""
+
+    def table(docs, *more):
+        number = F.split("text", " ")
+        return docs.select("doc_id", *more, *(number[k].cast("long").alias(n) for k, n in enumerate(("f1", "f2", "tokens"))))
+
+    monkeypatch.setattr(simhash, "fingerprint_table", table)
+    f = np.random.default_rng(13).integers(0, 1 << 63, (2, 70_000))
+    for half in range(2):
+        f[half, 1] = f[half, 0] ^ np.array(sum(1 << b % 64 for b in LOST_BY_SAMPLES if b // 64 == half), np.uint64).astype(np.int64)
+    docs = spark.createDataFrame(pa.table({"doc_id": np.arange(70_000), "text": [f"{a} {b} 100" for a, b in f.T.tolist()]}))
+    few, all_ = (ids(P.near_dedup(spark, d, "")) for d in (docs.where("doc_id < 10"), docs))
+    assert few == {0, *range(2, 10)} and all_ == {0, *range(2, 70_000)}
