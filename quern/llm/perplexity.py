@@ -15,14 +15,16 @@ from the counts of counts of all documents.
 A document must not vouch for itself: a 5-gram that one document alone holds
 is pruned; a lower n-gram stays if a longer one that ends with it stays or if
 two different ones do. The mass of pruned n-grams goes to the back-off weight.
-Should more than ``ENTRIES`` n-grams stay, those of the fewest documents go
-first, in all languages alike: 2 becomes the least number at which the model
-fits. Counts, discounts and totals always cover all documents.
+Nothing else is pruned, however large the model grows.
 
 The model is a sorted array of keys per language and order, with log
 probabilities and back-off weights beside it, 12 bytes an n-gram. It is
-broadcast, at most 150 MB and as much again for the weights in the worst case,
-and looked up by binary search. There is no other way to score, at any size.
+broadcast in slices of about ``ENTRIES`` n-grams, at most 150 MB each and as
+much again for the weights in the worst case, and looked up by binary search. A
+slice holds whole languages, or of a larger one the n-grams whose contexts, read
+from their last symbol, lie in a range, and those of all ends of such contexts,
+to which they back off. Each 5-gram is therefore scored by one slice alone, with
+the same result as by the whole model. Tasks read one slice after another.
 
 Bands: ``z`` is a document's mean negative log probability less the median of its
 language, allowing for length as for a mean, in spreads of that language: one
@@ -37,6 +39,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -49,7 +52,8 @@ LOWER, UPPER = 6.0, 8.0  #: band of each language, in its own lower and upper sp
 HALF = 400  #: code points at which the spread is sqrt(2) times that of a long text
 STEP = 1e-3  #: bin of the histograms
 LEAST_SPREAD = 0.01
-ENTRIES = 12_000_000  #: n-grams that the model may hold
+ENTRIES = 12_000_000  #: n-grams that a slice of the model may hold
+_CONTEXTS = 1 << BITS * (ORDER - 1)
 _HELD = 1 << 22
 
 
@@ -205,12 +209,12 @@ def least_level(every: DataFrame, kept: int, entries: int) -> int:
     return 2
 
 
-def interpolated(every: DataFrame, entries: int) -> DataFrame:
-    """``(lang, k, g, alpha, gamma)`` of the n-grams that stay: discounted relative frequency after their context, and the part of the context's mass that is left to the lower order."""
+def interpolated(every: DataFrame, entries: int | None = None) -> DataFrame:
+    """``(lang, k, g, alpha, gamma)`` of the n-grams that stay: discounted relative frequency after their context, and the part of the context's mass that is left to the lower order. A smaller model of so many ``entries`` can be asked for; scoring never does."""
     spark = every.sparkSession
     a = F.col("a")
     found = every.groupBy("lang", "k").agg(*(F.count_if(a == i).alias(f"n{i}") for i in range(1, 5)), F.count_if(F.col("level") > 1).alias("kept")).collect()
-    least = least_level(every, sum(r["kept"] for r in found), entries)
+    least = 2 if entries is None else least_level(every, sum(r["kept"] for r in found), entries)
     table = spark.createDataFrame([(r["lang"], r["k"], *discounts([r[f"n{i}"] for i in range(1, 5)])) for r in found], "lang string, k byte, d1 double, d2 double, d3 double")
     own = a - F.when(a == 1, F.col("d1")).when(a == 2, F.col("d2")).otherwise(F.col("d3"))
     stays = F.col("level") >= least
@@ -221,6 +225,52 @@ def interpolated(every: DataFrame, entries: int) -> DataFrame:
     return whole.where("stays").select("lang", "k", "g", "alpha", "gamma")
 
 
+def _backwards(g: np.ndarray) -> np.ndarray:
+    """The contexts of 5-grams read from their last symbol, as numbers."""
+    out = np.zeros(len(g), np.int64)
+    for _ in range(ORDER - 1):
+        g = g >> BITS
+        out = out << BITS | g & _mask(1)
+    return out
+
+
+def _span() -> tuple[Column, Column]:
+    """Of an n-gram of any order: the first, and the number, of the contexts of 5-grams (as :func:`_backwards` reads them) that end with its own."""
+    first = F.lit(0).cast("long")
+    for j in range(1, ORDER):
+        first = first.bitwiseOR(F.shiftleft(F.shiftright("g", BITS * j).bitwiseAND(F.lit(_mask(1))), BITS * (ORDER - 1 - j)))
+    return first, F.expr(f"shiftleft(1L, {BITS} * ({ORDER} - k))")
+
+
+def slices(rows: DataFrame, entries: int) -> list[tuple[frozenset, int, int, DataFrame]]:
+    """``(languages, first, end, rows)`` of parts of a model of about so many n-grams at most: all that 5-grams of these languages with contexts of that range need."""
+    sizes = sorted(tuple(r) for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect())
+    if sum(n for _, n in sizes) <= entries:
+        return [(frozenset(x for x, _ in sizes), 0, _CONTEXTS, rows)]
+    first, many = _span()
+    out, held, size = [], [], 0
+
+    def close() -> None:
+        if held:
+            out.append((frozenset(held), 0, _CONTEXTS, rows.where(F.col("lang").isin(held))))
+
+    for lang, n in sizes:
+        own = rows.where(F.col("lang") == lang)
+        if n > entries:
+            parts = -(-5 * n // (4 * entries))  # a quarter more, as the quantiles are approximate
+            cuts = own.select(F.percentile_approx(first, [i / parts for i in range(1, parts)], min(20 * parts, 1 << 20))).first()[0]
+            ends = sorted({0, _CONTEXTS, *cuts})
+            out += [(frozenset([lang]), lo, hi, own.where((first < hi) & (first + many > lo))) for lo, hi in zip(ends, ends[1:])]
+            continue
+        if size + n > entries:
+            close()
+            held, size = [], 0
+        held.append(lang)
+        size += n
+    close()
+    return out
+
+
 class Model:
     """Sorted arrays: ``p[lang, k]`` and ``b[lang, k]`` are ``(keys, values)``, log probabilities of n-grams of k symbols and log weights of contexts of k (a context without one backs off with all its mass)."""
 
@@ -269,8 +319,12 @@ class Model:
 _SCORES = "doc_id long, lang string, n long, nll double"
 
 
-def _scored(docs: DataFrame, model: Model) -> DataFrame:
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+def _scored(docs: DataFrame, models: list[tuple[frozenset, int, int, Broadcast]]) -> DataFrame:
+    most = 1 << (20 if len(models) == 1 else 21)  # 5-grams that are scored together
+
+    def model_of(shared: Broadcast) -> Model:
+        path = getattr(shared, "_path", None)
+        return shared.load_from_path(path) if path and len(models) > 1 else shared.value  # of several, one is held at a time
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -280,10 +334,20 @@ def _scored(docs: DataFrame, model: Model) -> DataFrame:
             size = 0
 
             def flush() -> None:
+                grams = {name: np.unique(np.concatenate([k for _, k, _ in rows]), return_inverse=True) for name, rows in held.items()}
+                scored = {name: np.full(len(distinct), -np.log(SYMBOLS)) for name, (distinct, _) in grams.items()}
+                for names, lo, hi, shared in models:
+                    mine = names & grams.keys()
+                    model = model_of(shared) if mine else None
+                    for name in mine:
+                        distinct, at = grams[name][0], slice(None)
+                        if hi - lo < _CONTEXTS:
+                            context = _backwards(distinct)
+                            at = np.flatnonzero((context >= lo) & (context < hi))
+                        scored[name][at] = model.logp(name, distinct[at])
+                    del model
                 for name, rows in held.items():
-                    key = np.concatenate([k for _, k, _ in rows])
-                    distinct, where = np.unique(key, return_inverse=True)
-                    p = shared.value.logp(name, distinct)[where]
+                    p = scored[name][grams[name][1]]
                     first = np.cumsum([0, *(len(k) for _, k, _ in rows[:-1])])
                     total = np.add.reduceat(p * np.concatenate([c for _, _, c in rows]), first)
                     for (r, _, c), t in zip(rows, total):
@@ -294,7 +358,7 @@ def _scored(docs: DataFrame, model: Model) -> DataFrame:
             for r, key, c in document_counts(b.column("text")):
                 held.setdefault(lang[r], []).append((r, key, c))
                 size += len(key)
-                if size > 1 << 20:
+                if size > most:
                     flush()
                     size = 0
             flush()
@@ -304,11 +368,13 @@ def _scored(docs: DataFrame, model: Model) -> DataFrame:
 
 
 def scores(docs: DataFrame, entries: int = ENTRIES) -> DataFrame:
-    """``(doc_id, lang, n, nll)`` per row: symbols and mean negative log probability in nats (null for a text without code points), under the model of all rows of the same language."""
+    """``(doc_id, lang, n, nll)`` per row: symbols and mean negative log probability in nats (null for a text without code points), under the model of all rows of the same language. ``entries``, the size of its slices, doesn't change the scores."""
     every = orders(count_grams(docs))
-    model = Model(interpolated(every, entries))
-    dropped(every)
-    return _scored(docs, model)
+    rows = written(interpolated(every), "model", [every])
+    share = docs.sparkSession.sparkContext.broadcast
+    models = [(*what, share(Model(part))) for *what, part in slices(rows, entries)]
+    dropped(rows)
+    return _scored(docs, models)
 
 
 def _medians(rows: DataFrame, value: Column, *by: str) -> dict[tuple, float]:

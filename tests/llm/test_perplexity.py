@@ -107,6 +107,19 @@ def test_a_model_beyond_its_size_is_pruned_from_the_rarest(spark, rows):
             assert abs(total(model, context) - 1) < 1e-5
 
 
+def test_slices_of_a_large_model_score_as_the_whole_does(spark, rows):
+    docs = spark.createDataFrame(rows, SCHEMA)
+    want = sorted((r["lang"] or "", r["doc_id"] or 0, r["n"], r["nll"] or 0) for r in P.scores(docs).collect())
+    whole = P.interpolated(P.orders(P.count_grams(docs)))
+    size = whole.count()
+    for entries in (size // 2, size // 10, 40):
+        cut = P.slices(whole, entries)
+        seen = {tuple(g) for *_, part in cut for g in part.select("lang", "k", "g").collect()}
+        assert len(cut) > size // entries * 0.9 and len(seen) == size
+        got = sorted((r["lang"] or "", r["doc_id"] or 0, r["n"], r["nll"] or 0) for r in P.scores(docs, entries).collect())
+        assert got == want, entries
+
+
 def test_query_equals_brute_force_and_catches_junk(spark):
     sf = "/root/testdata/sf0.001"
     docs = [(r["doc_id"], r["lang"], r["text"]) for r in spark.read.parquet(f"{sf}/documents.parquet").collect()]
