@@ -124,6 +124,26 @@ def test_a_very_long_text(spark):
     assert sorted(tuple(r) for r in S.near_duplicate_classes(docs).collect())[:2] == [(1, 1, 1), (2, 1, 1)]  # of one fingerprint perhaps, but not of one length
 
 
+def test_links_between_different_texts_of_one_fingerprint_are_counted(spark):
+    rng = random.Random(21)
+    texts = []
+    for w in (x.split() for x in corpus(seed=7, n=12)[:12]):
+        same = [" ".join(w), " ".join(reversed(w)), " ".join(w).upper(), ", ".join(w)]  # other texts of the same words
+        w[rng.randrange(len(w))] = "another"
+        texts += [*same, same[0], " ".join(w), " ".join(sorted(w)), same[1]]
+    texts += ["!!", "??", "", ""]
+    f1, f2, n = prints(texts)
+    assert len({*zip(f1.tolist(), f2.tolist(), n.tolist())}) < len({*texts}) - 30
+    want = {}
+    for i in range(len(texts)):
+        d = np.bitwise_count(f1 ^ f1[i]) + np.bitwise_count(f2 ^ f2[i])
+        near = (d <= S.K) & (np.minimum(n, n[i]) >= S.RATIO * np.maximum(n, n[i])) & (n > 0)
+        want[i] = len({texts[j] for j in np.flatnonzero(near).tolist()} - {texts[i]})
+    docs = spark.createDataFrame([*enumerate(texts), (None, texts[0] + "!")], SCHEMA)  # that without a doc_id counts for none
+    assert {r["doc_id"]: r["links"] for r in S.near_duplicate_classes(docs).collect()} == {**want, None: None}
+    assert min(want[i] for i in range(len(texts) - 4)) >= 1
+
+
 def at_distance(rng, bits, pairs):
     """Pairs of fingerprints so many bits apart and far from all others, first all left sides."""
     f = rng.integers(0, 1 << 64, (2, pairs), dtype=np.uint64)
