@@ -183,3 +183,19 @@ def test_a_cluster_without_a_shared_folder_is_refused():
     for master in ("spark://host:7077", "yarn", "local-cluster[2,1,1024]"):
         with pytest.raises(StorageError):
             shared_folder(SimpleNamespace(sparkContext=SimpleNamespace(getConf=lambda: nothing, getCheckpointDir=lambda: None, master=master)))
+
+
+def test_cosine_pairs_are_all_found_in_blocks(spark, monkeypatch):
+    import numpy as np
+
+    rng = np.random.default_rng(4)
+    x = rng.standard_normal((300, 8))
+    rows = [(i, [float(v) for v in r]) for i, r in enumerate(x)] + [(900, [1.0, 0.0]), (901, [2.0, 0.0]), (902, [0.0] * 8), (903, None)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    u = x / np.linalg.norm(x, axis=1)[:, None]
+    near = np.round(u @ u.T, 6) >= 0.4
+    want = {(i, j) for i in range(300) for j in range(i + 1, 300) if near[i, j]} | {(900, 901)}
+    for size in (1 << 19, 500):  # one block, and many
+        monkeypatch.setattr(S, "_VECTORS", size)
+        got = [(r["i"], r["j"]) for r in S.cosine_pairs(df, 0.4).collect()]
+        assert len(got) == len(set(got)) and set(got) == want
