@@ -30,7 +30,7 @@ def tune(source: Any, truth: DataFrame, base: PipelineConfig, spark, sizes: Iter
     for k in sizes:
         p = DedupPipeline(base.replace(shingle_size=k), spark)
         docs = written(p.normalize_batch(p.stream_documents(source)), "documents") if docs is None else docs
-        signatures = written(p.compute_signatures(p.shingle_batch(docs)), "signatures")
+        signatures = written(p.compute_signatures(p.shingle_batch(docs), origins=False), "signatures")
         for bands, rows in factorizations(base.num_hash_functions):
             keys = lsh.band_keys(signatures, bands, rows)
             if base.high_precision_mode:

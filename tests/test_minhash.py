@@ -108,3 +108,30 @@ def test_store(spark, tmp_path):
         s.get(7)
     with pytest.raises(Exception, match="hasn't 2 values"):
         s.append(spark.createDataFrame([(3, [1])], df.schema))
+
+
+def test_sets_of_one_shingle_that_are_equal_modulo_the_prime_stay_apart(spark):
+    from quern.config import PipelineConfig
+    from quern.operators.clusters import duplicate_clusters
+    from quern.plans.pipeline import DedupPipeline
+
+    sets = [(0, [7]), (1, [7 + H.PRIME]), (2, [7]), (3, [-9]), (4, [-9 - H.PRIME]), (5, []), (6, None)]
+    df = spark.createDataFrame(sets, "doc_idx long, shingles array<long>")
+    p = DedupPipeline(PipelineConfig(), spark)
+    signatures = p.compute_signatures(df)
+    by = {r["doc_idx"]: r for r in signatures.collect()}
+    assert by[0]["signature"] == by[1]["signature"] and by[0]["origins"] == by[2]["origins"] != by[1]["origins"]
+    assert sorted(map(tuple, duplicate_clusters(p.duplicate_edges(signatures)).collect())) == [(0, 0), (0, 2), (5, 5), (5, 6)]
+
+
+def test_values_of_repeated_and_of_very_large_sets(monkeypatch):
+    rng = np.random.default_rng(5)
+    values = rng.integers(-(1 << 63), 1 << 63, 60)[rng.integers(0, 60, 5000)]
+    bounds = np.array([0, 3, 3, 2000, 5000])
+    family = H.coefficients(6)
+    want = [brute(values[a:z].tolist(), family) for a, z in zip(bounds, bounds[1:])]
+    for block, table in ((1 << 19, 1 << 25), (40, 200), (7, 64)):
+        monkeypatch.setattr(H, "_BLOCK", block)
+        monkeypatch.setattr(H, "_TABLE", table)
+        got = H.minhash(values, bounds, family)
+        assert got.tolist() == want and ((H.minhash(values, bounds, family, True) >> np.uint64(32)).astype(np.int64) == got).all()
