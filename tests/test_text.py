@@ -83,3 +83,21 @@ def test_ascii_path_equals_full_normalization(text):
 
     if re.search(r"[<&]|[^\x00-\x7f]", text) is None:
         assert T.normalize_text(text) == re.sub(r"[\x09-\x0d\x1c-\x20]+", " ", text.lower()).strip(" ")
+
+
+def test_shingles_of_characters_equal_those_of_spark(spark):
+    import random
+
+    from pyspark.sql import functions as F
+
+    from quern.functions import text as T
+
+    rng = random.Random(3)
+    texts = ["".join(rng.choices("ab cdé漢\U0001f600", k=rng.randint(0, 60))) for _ in range(150)]
+    texts += ["".join(chr(rng.randrange(0x4E00, 0x9FFF)) for _ in range(700)) * 2, "", "abc", "é", None]  # more kinds of characters than fit one number
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string")
+    for k in (1, 5, 9):
+        n, kinds = T.char_gram_counts(F.col("t"), k)
+        grams = T.ngrams(T.char_tokens(F.col("t")), k)
+        for r in df.select("t", T.shingles(F.col("t"), "char", k).alias("got"), F.array_distinct(T.hashed(grams)).alias("want"), n.alias("n"), kinds.alias("kinds"), F.size(grams).alias("m")).collect():
+            assert sorted(r["got"]) == sorted(r["want"] or []) and (r["n"], r["kinds"]) == (r["m"], len(r["want"] or [])), r["t"]
