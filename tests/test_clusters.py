@@ -185,6 +185,19 @@ def test_a_cluster_without_a_shared_folder_is_refused():
             shared_folder(SimpleNamespace(sparkContext=SimpleNamespace(getConf=lambda: nothing, getCheckpointDir=lambda: None, master=master)))
 
 
+def test_exact_jaccard_of_near_copies_in_many_blocks(spark, monkeypatch):
+    rng = random.Random(8)
+    base = [rng.sample(range(10_000), 60) for _ in range(3)]
+    sets = [sorted({x for x in b if rng.random() > 0.12} | {rng.randrange(10_000)}) for b in base for _ in range(40)]
+    df = spark.createDataFrame(list(enumerate(sets)), "doc_id long, shingles array<long>")
+    want = {(i, j): len(set(sets[i]) & set(sets[j])) / len(set(sets[i]) | set(sets[j])) for i, j in itertools.combinations(range(len(sets)), 2)}
+    want = {k: v for k, v in want.items() if v >= 0.7}
+    for size in (200_000, 300):  # one block of each family, and many
+        monkeypatch.setattr(S, "BLOCK", size)
+        got = [(r["i"], r["j"], r["jaccard"]) for r in S.exact_jaccard_pairs(df, 0.7).collect()]
+        assert len(got) == len(want) > 200 and {(i, j): v for i, j, v in got} == want
+
+
 def test_cosine_pairs_are_all_found_in_blocks(spark, monkeypatch):
     import numpy as np
 
