@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 _BASE = np.uint64(0x9E3779B97F4A7C15)
+_PART = 1 << 18  #: words that are worked on at a time, or one text
 
 
 def _windows(words: np.ndarray, size: int) -> np.ndarray:
@@ -24,12 +25,28 @@ def _windows(words: np.ndarray, size: int) -> np.ndarray:
     return out ^ (out >> np.uint64(32))
 
 
-def _picked(hashes: np.ndarray, reach: int) -> np.ndarray:
-    """The least of every ``reach`` hashes in a row, each place once (winnowing): where two texts have ``reach`` hashes in common, they pick the same."""
+def _least(x: np.ndarray, reach: int, of=np.minimum) -> np.ndarray:
+    """The least (or ``of`` another kind) of every ``reach`` values in a row, by doubling."""
+    span = 1
+    n = len(x) - reach + 1
+    while 2 * span <= reach:
+        x = of(x[:-span], x[span:])
+        span *= 2
+    return of(x[:n], x[reach - span : reach - span + n])
+
+
+def _picked(hashes: np.ndarray, reach: int, inside: np.ndarray | None = None) -> np.ndarray:
+    """The places of the least of every ``reach`` hashes in a row, equal ones all (winnowing): where two texts have ``reach`` hashes in common, they pick the same. Of the stretches of that length only those ``inside`` count."""
     if len(hashes) < reach:
         return np.zeros(0, np.int64)
-    view = np.lib.stride_tricks.sliding_window_view(hashes, reach)
-    return np.unique(view.argmin(axis=1) + np.arange(len(view)))
+    least = _least(hashes, reach)
+    inside = np.ones(len(least), bool) if inside is None else inside
+    # a place is picked if a stretch that holds it has no less: of their least ones, the greatest is its own
+    pad = np.zeros(reach - 1, np.uint64)
+    best = _least(np.concatenate([pad, np.where(inside, least, 0), pad]), reach, np.maximum)
+    covered = np.cumsum(np.concatenate([inside, pad.astype(bool)]).astype(np.int64))
+    covered[reach:] -= covered[:-reach].copy()
+    return np.flatnonzero((best == hashes) & (covered > 0))
 
 
 def repeated_passages(docs: DataFrame, words: Column, size: int = 50, key: str = "doc_id") -> DataFrame:
@@ -46,19 +63,30 @@ def repeated_passages(docs: DataFrame, words: Column, size: int = 50, key: str =
     def hashes(pick: bool):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for b in batches:
-                for d, w in zip(b.column(0), b.column(1)):
-                    if not w.is_valid:
-                        continue
-                    h = _windows(w.values.to_numpy().view(np.uint64), half if pick else size)
-                    at = _picked(h, size - half + 1) if pick else np.arange(len(h))
+                every = b.column(1).value_lengths().fill_null(0).to_numpy().astype(np.int64)
+                ends, lo, before = np.cumsum(every), 0, 0
+                while lo < len(every):
+                    hi = max(lo + 1, int(np.searchsorted(ends, before + _PART, side="right")))
+                    words = b.column(1)[lo:hi].flatten().to_numpy().view(np.uint64)
+                    row = np.repeat(np.arange(lo, hi), every[lo:hi])
+                    span = half if pick else size
+                    h = _windows(words, span)
+                    if pick:
+                        reach = size - half + 1
+                        at = _picked(h, reach, row[: max(0, len(words) - size + 1)] == row[size - 1 :]) if len(words) >= size else np.zeros(0, np.int64)
+                    else:
+                        at = np.flatnonzero(row[: len(h)] == row[span - 1 :]) if len(h) else np.zeros(0, np.int64)
                     if len(at):
-                        yield pa.RecordBatch.from_arrays([pa.array([d.as_py()] * len(at), b.schema.field(0).type), pa.array(at.astype(np.int64)), pa.array(h[at].view(np.int64))], ["__d", "__at", "__h"])
+                        own = row[at]
+                        place = at - (ends[own] - every[own] - before)
+                        yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(own)), pa.array(place), pa.array(h[at].view(np.int64))], ["__d", "__at", "__h"])
+                    lo, before = hi, ends[hi - 1]
 
         kind = T.StructType([T.StructField("__d", hashed.schema["__d"].dataType), T.StructField("__at", T.LongType()), T.StructField("__h", T.LongType())])
         return run, kind
 
     def repeated(rows: DataFrame) -> DataFrame:
-        return rows.join(rows.groupBy("__h").agg(F.count("*").alias("__n")).where("__n > 1").select("__h"), "__h", "left_semi")
+        return rows.withColumn("__n", F.count("*").over(Window.partitionBy("__h"))).where("__n > 1").drop("__n")  # so that the rows are made once
 
     some = repeated(hashed.mapInArrow(*hashes(True))).select("__d").distinct()
     found = repeated(hashed.join(some, "__d", "left_semi").mapInArrow(*hashes(False)))
