@@ -101,3 +101,22 @@ def test_shingles_of_characters_equal_those_of_spark(spark):
         grams = T.ngrams(T.char_tokens(F.col("t")), k)
         for r in df.select("t", T.shingles(F.col("t"), "char", k).alias("got"), F.array_distinct(T.hashed(grams)).alias("want"), n.alias("n"), kinds.alias("kinds"), F.size(grams).alias("m")).collect():
             assert sorted(r["got"]) == sorted(r["want"] or []) and (r["n"], r["kinds"]) == (r["m"], len(r["want"] or [])), r["t"]
+
+
+def test_shingles_of_words_equal_those_of_spark(spark):
+    import random
+
+    from pyspark.sql import functions as F
+
+    from quern.functions import text as T
+
+    rng = random.Random(4)
+    texts = [" ".join(rng.choices(["a", "the", "été", "x_1", "漢字", "。", "42", "-", "\U0001f600"], k=rng.randint(0, 30))) for _ in range(200)]
+    df = spark.createDataFrame([(t,) for t in [*texts, "", "漢字漢字", "漢字 ab", "a", None]], "t string")
+    for k, part in ((3, 0.2), (1, 1.0), (1_000_000, 1.0), (2, 0.0)):
+        grams = T.ngrams(T.tokens(F.col("t"), "word", part), k)
+        c = T.word_gram_counts(F.col("t"), k, part)
+        plain = F.array_distinct(T.portable_hashed(T.ngrams(T.word_tokens(F.col("t")), k)))
+        for r in df.select("t", T.shingles(F.col("t"), "word", k, part).alias("got"), F.array_distinct(T.hashed(grams)).alias("want"), c.alias("c"), F.size(grams).alias("m"), T.portable_word_shingles(F.col("t"), k).alias("p"), plain.alias("q")).collect():
+            assert sorted(r["got"]) == sorted(r["want"]) and (r["c"]["grams"], r["c"]["kinds"]) == (r["m"], len(r["want"])), r["t"]
+            assert r["p"] == sorted(r["q"]), r["t"]
