@@ -120,3 +120,14 @@ def test_shingles_of_words_equal_those_of_spark(spark):
         for r in df.select("t", T.shingles(F.col("t"), "word", k, part).alias("got"), F.array_distinct(T.hashed(grams)).alias("want"), c.alias("c"), F.size(grams).alias("m"), T.portable_word_shingles(F.col("t"), k).alias("p"), plain.alias("q")).collect():
             assert sorted(r["got"]) == sorted(r["want"]) and (r["c"]["grams"], r["c"]["kinds"]) == (r["m"], len(r["want"])), r["t"]
             assert r["p"] == sorted(r["q"]), r["t"]
+
+
+def test_sentences_are_cut_where_the_sql_cuts_them(spark, tmp_path):
+    import duckdb
+
+    from quern.plans.queries import ORACLE_SQL, sentence_counts
+
+    texts = ["A. b! c", "a.\x01b. c", "a \x01 b\x01", "a. \x01b. \x01", "\x01", "... a.b ?!  c", "", "  ", None, "x. x. X."]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    want = duckdb.sql(f"WITH documents AS (SELECT * FROM '{tmp_path}/documents.parquet/*.parquet') SELECT * FROM ({ORACLE_SQL['sentence_counts']}) ORDER BY 1").fetchall()
+    assert sorted(map(tuple, sentence_counts(spark, str(tmp_path)).collect())) == want
